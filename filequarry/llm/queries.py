@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, linededup, packing, quality, secrets, simhash, toxicity
+from . import decontaminate, gif, linededup, packing, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.text_media(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "end", "edits", "shared")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_simhash": op2_simhash,
         "op5_gif": op5_gif,
+        "op6_decontaminate": op6_decontaminate,
         "op7_secrets": op7_secrets,
         "op8_quality": op8_quality,
         "op9_linededup": op9_linededup,
