@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gif, licenses, linededup, packing, quality, secrets, simhash, toxicity
+from . import classlm, decontaminate, gif, licenses, linededup, packing, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.license_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "license", F.round("coverage", 6).alias("coverage"), "words", "start", "end")
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_simhash": op2_simhash,
+        "op3_lm": op3_lm,
         "op4_licenses": op4_licenses,
         "op5_gif": op5_gif,
         "op6_decontaminate": op6_decontaminate,
