@@ -1 +1,110 @@
-"""Part of filequarry."""
+"""Readers: a table configuration becomes a DataFrame scan."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..catalog import TableConfig
+from .textual import IniSource, YamlSource
+
+__all__ = ["read", "register_sources"]
+
+
+def register_sources(spark: SparkSession) -> None:
+    for source in (YamlSource, IniSource):
+        spark.dataSource.register(source)
+
+
+def read(spark: SparkSession, config: TableConfig) -> DataFrame:
+    """The table of a configuration. Compressed files are told by their extension; paths may be any that Spark reads."""
+    kind = config.format
+    if kind == "parquet":
+        return spark.read.parquet(config.file_path)
+    if kind in ("json", "jsonl"):
+        reader = spark.read.option("mode", "DROPMALFORMED").option("multiLine", kind == "json")
+        if config.schema():
+            reader = reader.schema(config.schema())
+        return reader.json(config.file_path)
+    if kind in ("yaml", "ini"):
+        register_sources(spark)
+        reader = spark.read.format(f"filequarry_{kind}")
+        if config.schema() and kind == "yaml":
+            reader = reader.schema(config.schema())
+        return reader.load(config.file_path)
+    return read_delimited(spark, config)
+
+
+def read_delimited(spark: SparkSession, config: TableConfig) -> DataFrame:
+    """CSV and TSV. Quotes are doubled inside quoted values unless another escape is set.
+
+    Without declared columns the types are inferred, or all columns are strings with ``all_strings``.
+    """
+    if config.max_columns or config.strict_quotes:
+        df = _split_lines(spark, config)
+    else:
+        reader = spark.read.options(
+            header=config.has_header, sep=config.delimiter, mode="PERMISSIVE", multiLine=config.multi_line,
+            quote=config.quote if config.allow_quoted else "", escape=config.escape or config.quote,
+            ignoreLeadingWhiteSpace=config.trim_spaces, ignoreTrailingWhiteSpace=config.trim_spaces,
+        )
+        if schema := config.schema():
+            reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType() if config.trim_spaces else f.dataType) for f in schema]))
+        elif not config.all_strings:
+            reader = reader.option("inferSchema", True).option("preferDate", True)
+        df = reader.csv(config.file_path)
+        if not config.has_header and not config.columns:
+            df = df.toDF(*[f"col_{i}" for i in range(len(df.columns))])
+    if config.trim_spaces:
+        df = df.select(*[F.trim(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+    return _typed(df, config)
+
+
+def _typed(df: DataFrame, config: TableConfig) -> DataFrame:
+    """Declared types, by try_cast: what can't be converted is null. Rows without a required value go."""
+    if not (schema := config.schema()):
+        return df
+    out = df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
+    for f in schema:
+        if not f.nullable:
+            out = out.where(F.col(f"`{f.name}`").isNotNull())
+    return out
+
+
+def _split_lines(spark: SparkSession, config: TableConfig) -> DataFrame:
+    """Lines cut at the delimiter into ``max_columns`` values at most, the last of which keeps all that follows.
+
+    Values in quotes are taken whole, delimiters and all. With ``strict_quotes`` lines with an odd number of quotes go.
+    """
+    lines = spark.read.text(config.file_path).where(F.trim("value") != "")
+    q, sep = re.escape(config.quote), re.escape(config.delimiter)
+    if config.strict_quotes:
+        lines = lines.where((F.length("value") - F.length(F.replace("value", F.lit(config.quote)))) % 2 == 0)
+    n = config.max_columns or -1
+    names = [c.name for c in config.columns]
+    if config.has_header and not names:
+        first = lines.select("value").first()
+        names = [x.strip().strip(config.quote) for x in (first[0].split(config.delimiter, n - 1 if n > 0 else -1) if first else [])]
+    if config.has_header and names:
+        head = config.delimiter.join(names)
+        bare = F.replace("value", F.lit(config.quote)) if config.allow_quoted else F.col("value")
+        lines = lines.where(F.regexp_replace(bare, rf"\s*{sep}\s*", config.delimiter.replace("$", r"\$")) != head)
+    if not names:
+        names = [f"col_{i}" for i in range(n if n > 0 else 1)]
+    if not config.allow_quoted:
+        parts = F.split("value", sep, n)
+        return lines.select(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(names)])
+    one = rf"{q}(?:[^{q}]|{q}{q})*{q}|[^{sep}]*"
+    last = rf"(?:{sep}(.*))?" if n > 0 else rf"(?:{sep}.*)?"
+    middle = len(names) - 1 if n > 0 else len(names)
+    whole = "^" + rf"(?:{sep}|$)?".join([rf"\s*({one})\s*"] * middle) + (last if n > 0 else ".*") + "$"
+
+    def value(i: int) -> Column:
+        raw = F.trim(F.regexp_extract("value", whole, i))
+        quoted = raw.startswith(config.quote) & raw.endswith(config.quote) & (F.length(raw) > 1)
+        return F.when(quoted, F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit(config.quote * 2), F.lit(config.quote))).otherwise(raw)
+
+    return lines.select(*[value(i).alias(c) for i, c in enumerate(names, 1)])
