@@ -214,16 +214,15 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     ends = docs.count()
     tokens, types = int(total.n) + ends, int(total.v) + (ends > 0)
     top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).select("word").collect()]
-    head = {r.word: r.n for r in counts.where(F.col("n") * HEAD >= tokens).select("word", "n").collect()}
-    head |= {r.word: r.n for r in counts.where(F.col("word").isin(top)).select("word", "n").collect()} if top else {}
+    told = counts.where((F.col("n") * HEAD >= tokens) | F.col("word").isin(top)).select("word", "n").toArrow()
+    head = dict(zip(told["word"].to_pylist(), told["n"].to_pylist(), strict=True))
     units = Units(top)
     pairs = np.zeros((units.size, units.size))
-    got = unit_pairs(docs.select("text"), units).toPandas()
-    np.add.at(pairs.reshape(-1), got["pair"].to_numpy(), got["n"].to_numpy())
+    got = unit_pairs(docs.select("text"), units).toArrow()
+    pairs.reshape(-1)[got["pair"].to_numpy()] = got["n"].to_numpy()
     own = exchange(pairs)
     n = pairs.sum(0)
-    groups = counts.where(~F.col("word").isin(top)) if top else counts
-    sums = groups.groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    sums = counts.where(~F.col("word").isin(top)).groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     divisor = np.zeros(units.size)
     for r in sums:
         divisor[units.groups + r.suffix] = np.log10(r.n + r.v + 1)
