@@ -26,7 +26,7 @@ WORDS, GROUPS, CLASSES, SWEEPS = 1024, 1024, 48, 8
 #: A word with at least this share of all training tokens is looked up where it stands; there are 500,000 at most.
 HEAD = 500_000
 #: Weight of a class's overall share when what follows a class is estimated, and what is added to each unit's count.
-BACK, ADD = 20.0, 0.5
+BACK, ADD = 20.0, 0.02
 #: Bytes of text that are taken apart at once; a longer text goes alone.
 CHUNK = 4 << 20
 END = 0
