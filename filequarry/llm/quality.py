@@ -201,8 +201,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     """
     x = written(featured(docs), "features")
     chosen = sample_ids(labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD, sample)
-    rows = x.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(sample).select("x", "y").toPandas()
-    model = fit(np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES)), rows["y"].to_numpy(float))
+    rows = x.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(sample).select("x", "y").toArrow().to_pydict()
+    model = fit(np.array(rows["x"], float).reshape(-1, len(FEATURES)), np.array(rows["y"], float))
 
     @F.pandas_udf("double")
     def score(xs: pd.Series) -> pd.Series:
