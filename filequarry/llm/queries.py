@@ -68,7 +68,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     told = F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["s"], r["e"])), ",")
-    return out.select("doc_id", F.size("runs").alias("n_runs"), told.alias("runs"), F.length("text").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "text")
+    return out.select("doc_id", F.size("runs").alias("n_runs"), told.alias("runs"), F.length("text").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
