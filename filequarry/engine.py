@@ -68,10 +68,10 @@ class Engine:
         if config is None:
             raise DialectError(f"{change.table} is no file")
         with dml.locked(config.file_path):
-            df = sources.read(self.spark, config)
+            df = sources.read(self.spark, config, df.schema)
             df.createOrReplaceTempView(config.name)
             after, affected = dml.apply(self, df, change)
             if affected:
                 dml.replace(after, config)
-        self.register_config(config)
+        self.register_frame(config.name, sources.read(self.spark, config, df.schema))
         return self.spark.createDataFrame([(affected,)], "rows_affected long")

@@ -19,21 +19,24 @@ def register_sources(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def read(spark: SparkSession, config: TableConfig) -> DataFrame:
-    """The table of a configuration. Compressed files are told by their extension; paths may be any that Spark reads."""
-    kind = config.format
+def read(spark: SparkSession, config: TableConfig, schema: T.StructType | None = None) -> DataFrame:
+    """The table of a configuration. Compressed files are told by their extension; paths may be any that Spark reads.
+
+    ``schema`` goes before what would be inferred from JSON and YAML.
+    """
+    kind, schema = config.format, config.schema() or schema
     if kind == "parquet":
         return spark.read.parquet(config.file_path)
     if kind in ("json", "jsonl"):
         reader = spark.read.option("mode", "DROPMALFORMED").option("multiLine", kind == "json")
-        if config.schema():
-            reader = reader.schema(config.schema())
+        if schema:
+            reader = reader.schema(schema)
         return reader.json(config.file_path)
     if kind in ("yaml", "ini"):
         register_sources(spark)
         reader = spark.read.format(f"filequarry_{kind}")
-        if config.schema() and kind == "yaml":
-            reader = reader.schema(config.schema())
+        if schema and kind == "yaml":
+            reader = reader.schema(schema)
         return reader.load(config.file_path)
     return read_delimited(spark, config)
 
