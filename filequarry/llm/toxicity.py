@@ -33,6 +33,8 @@ STRONG_Z = 8.0
 #: A document is called toxic if grade 0 has a probability below this.
 CLEAN = 0.5
 _STEPS, _RATE, _L2 = 400, 0.1, 1e-5
+#: Stands for all words without a weight, which only count towards density; no word can be this.
+_OTHERS = b" "
 _STRIP = b".,;:!?\"'()[]{}<>*#$%&|-_/\\=+~`^@"
 
 
@@ -145,38 +147,46 @@ def _descend(r: np.ndarray, c: np.ndarray, y: np.ndarray, chosen: list[bytes]) -
     return {k: float(v) for k, v in zip(chosen, w, strict=True) if v}, t
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """Fit on at most ``sample`` labelled documents that aren't held out; the driver gets only terms of those."""
-    chosen = written(sample_ids(labels, "toxic", fold(F.col("doc_id"), FOLDS) != HELD, sample), "toxic-sample")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+COUNTS = "term binary, n long, n1 long"
+ROWS = "doc_id long, terms array<binary>, counts array<long>, others long, y int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [(i, t, y) for i, t, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
-            terms = [terms_of(t) for _, t, _ in kept]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _, _ in kept], pa.int64()), pa.array([list(c) for c in terms], pa.list_(pa.binary())), pa.array([list(c.values()) for c in terms], pa.list_(pa.int64())), pa.array([y for _, _, y in kept], pa.int32())],
-                ["doc_id", "terms", "counts", "y"],
-            )
-
-    got = texts.selectExpr("cast(doc_id as long)", "text", "cast(y as int)").mapInArrow(run, "doc_id long, terms array<binary>, counts array<long>, y int")
-    # partial counts decide which terms can matter; only rows of those are collected
-    got = written(got, "toxic-terms")
-    some = got.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).where(f"n >= {LEAST_ROWS}")
-    size = got.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).first()
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, n1 = Counter(), Counter()
+        for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            terms = terms_of(t).keys()
+            n.update(terms)
+            if y:
+                n1.update(terms)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([n1[w] for w in n], pa.int64())], ["term", "n", "n1"])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
+    """Fit on at most ``sample`` labelled documents that aren't held out; the driver gets only chosen terms of those."""
+    chosen = sample_ids(labels, "toxic", fold(F.col("doc_id"), FOLDS) != HELD, sample)
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).first()
     n1 = int(size.n1 or 0)
     n0 = int(size.n) - n1
     if not n1 or not n0:
         return fit([])
-    gap = (F.col("n1") / n1 - (F.col("n") - F.col("n1")) / n0) / F.sqrt(F.col("n") / (n0 + n1) * (1 - F.col("n") / (n0 + n1)) + 1e-12)
-    some = some.where((gap >= LEAST_Z) & (F.col("n1") >= LEAST_SHARE * F.col("n")))
-    top = {bytes(r.term) for r in some.orderBy(-gap, "term").limit(TERMS).select("term").collect()}
-    rows = []
-    for r in got.orderBy("doc_id").limit(sample).toLocalIterator():
-        c = Counter({bytes(t): n for t, n in zip(r.terms, r.counts, strict=True) if bytes(t) in top})
-        c[b"\0words"] = max(0, sum(n for t, n in zip(r.terms, r.counts, strict=True) if bytes(t)[-1:] != b"*") - sum(n for t, n in c.items() if t[-1:] != b"*"))
-        rows.append((c, r.y))
-    return fit(rows)
+    some = texts.mapInArrow(_term_counts, COUNTS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(f"n >= {LEAST_ROWS}")
+    share = F.col("n") / (n0 + n1)
+    z = (F.col("n1") / n1 - (F.col("n") - F.col("n1")) / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    some = some.where((z >= LEAST_Z) & (F.col("n1") >= LEAST_SHARE * F.col("n")))
+    top = {bytes(r.term) for r in some.orderBy(-z, "term").limit(TERMS).select("term").collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [terms_of(t) for t in batch.column(1).to_pylist()]
+            kept = [{w: c[w] for w in c.keys() & top} for c in every]
+            words = [sum(n for w, n in c.items() if w[-1:] != b"*" and w not in top) for c in every]
+            cols = [batch.column(0), pa.array([sorted(c) for c in kept], pa.list_(pa.binary())), pa.array([[c[w] for w in sorted(c)] for c in kept], pa.list_(pa.int64())), pa.array(words, pa.int64()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in ROWS.split(", ")])
+
+    rows = texts.mapInArrow(run, ROWS).toArrow().sort_by([("doc_id", "ascending"), ("others", "ascending")]).to_pylist()
+    return fit([(Counter(dict(zip(r["terms"], r["counts"], strict=True)) | {_OTHERS: r["others"]}), r["y"]) for r in rows])
 
 
 SCORES = "doc_id long, text_key long, severity double, p_toxic double, grade int"
