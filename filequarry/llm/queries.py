@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,5 +92,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def secrets_sql() -> str:
+    """DuckDB SQL for op7_secrets: matches by splitting at them, places by running sums, links by EXISTS."""
+    q = lambda x: x.replace("'", "''")
+    # (?i) would also fold letters beyond ASCII there
+    case = lambda x: re.sub(r"\\x..|\\.|\[[^]]*\]|[A-Za-z]", lambda m: f"[{m[0].lower()}{m[0].upper()}]" if m[0].isalpha() else m[0], x[4:]) if x.startswith("(?i)") else x
+    # this dialect has no look-around: the runs that key40 may be are taken whole and then judged
+    patterns = secrets.KINDS | {"key40": "[A-Za-z0-9+/=]+"}
+    tests = {
+        "assign": f"length(own) >= {secrets.LEAST_ASSIGNED}",
+        "key40": "regexp_full_match(own, '[A-Za-z0-9+/]{40}') and regexp_matches(own, '[0-9]') and regexp_matches(own, '[a-z]') and regexp_matches(own, '[A-Z]')",
+    }
+    scans = " union all ".join(
+        f"select doc_id, '{k}' as kind, {n} as o, string_split_regex(t, '{q(case(p))}') as gaps, regexp_extract_all(t, '{q(case(p))}', 0) as hits, regexp_extract_all(t, '{q(case(p))}', {2 if k == 'assign' else 0}) as owns from d"
+        for n, (k, p) in enumerate(patterns.items(), 1)
+    )
+    good = " and ".join(f"(kind <> '{k}' or ({t}))" for k, t in tests.items())
+    near = f'y.doc_id = x.doc_id and y."end" >= x.start - {secrets.SCOPE} and y.start <= x."end" + {secrets.SCOPE} and (y."end" <= x.start or y.start >= x."end")'
+    beside = lambda *kinds: f"exists (select 1 from s y where {near} and y.kind in ({', '.join(map(repr, kinds))}))"
+    told = "coalesce(string_agg(kind || ':' || start || ':' || \"end\", ',' order by start, o){}, '')"
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+scans as ({scans}),
+rows as (select doc_id, kind, o, unnest(range(1, len(hits) + 1)) as i, gaps, hits, owns from scans where len(hits) > 0),
+cut as (select doc_id, kind, o, i, length(gaps[i]) as gap, length(hits[i]) as size, owns[i] as own from rows),
+placed as (select *, sum(gap + size) over (partition by doc_id, kind order by i) as stop from cut),
+s as (select doc_id, kind, o, cast(stop - size as bigint) as start, cast(stop as bigint) as "end", o <= {len(secrets.BASE)} as base from placed where {good}),
+kept as (select * from s x where base
+  or (kind = 'login' and {beside("assign", "hex", "key40")})
+  or (kind = 'key40' and {beside("access", "login", "endpoint")})
+  or (kind = 'endpoint' and {beside("access", "login")} and {beside("assign", "hex", "key40")}))
+select d.doc_id, {", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in secrets.BASE)},
+  sha256({told.format(" filter (base)")}) as base_sha256, {told.format("")} as spans
+from d left join kept using (doc_id) group by d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_secrets": secrets_sql()}
