@@ -7,6 +7,7 @@ bits depend on order. File queries write a table in a format and read it back, s
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 from collections.abc import Callable
@@ -132,6 +133,7 @@ FRAME_ORACLES: dict[str, str] = {
     "join_broadcast": "SELECT l_orderkey, l_linenumber, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
     "scan_parquet": "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01'",
     "scan_csv_max_columns": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, 'https://x.org:80/' || n_nationkey AS url FROM nation",
+    "scan_ini": "SELECT 'region' || n_regionkey AS section, 'nation' || n_nationkey AS key, n_name AS value, CAST(1 + 2 * ROW_NUMBER() OVER (ORDER BY n_regionkey, n_nationkey) AS BIGINT) AS line FROM nation",
     "stream_windows": "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type",
     "dml_insert": f"{NATION} UNION ALL SELECT 100, 'NOWHERE', NULL UNION ALL SELECT 101, 'ELSE', 3",
     "dml_update": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN UPPER(n_name) || '!' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN n_nationkey ELSE n_regionkey END AS n_regionkey FROM nation",
@@ -146,10 +148,11 @@ for _k in (*(f"scan_{s}" for s in SCANS), *(f"sink_{s}" for s in SINKS)):
 _KEPT: list[str] = []
 
 
-def _folder() -> str:
-    """A local folder for small files, until the program ends; these queries run where driver and executors share one."""
+def _folder(spark: SparkSession) -> str:
+    """A folder for small files, until the program ends: in the cluster's shared folder if that is a plain path."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
     if not _KEPT:
-        _KEPT.append(tempfile.mkdtemp(prefix="filequarry-"))
+        _KEPT.append(tempfile.mkdtemp(prefix="filequarry-", dir=shared if shared and os.path.isdir(shared) else None))
         atexit.register(shutil.rmtree, _KEPT[0], True)
     return tempfile.mkdtemp(dir=_KEPT[0])
 
@@ -181,7 +184,7 @@ def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fmt, options = {"csv_delimited": ("csv", {"delimiter": ":"}), "csv_gz": ("csv", {})}.get(kind, (kind, {}))
-        path = f"{_folder()}/nation.{fmt}{'.gz' if kind == 'csv_gz' else ''}"
+        path = f"{_folder(spark)}/nation.{fmt}{'.gz' if kind == 'csv_gz' else ''}"
         df = _nation(spark, sf_dir)
         if kind in ("json", "yaml"):
             sinks.write_rows(df, path, TableConfig(name="n", file_path=path))
@@ -195,7 +198,7 @@ def scan(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def sink(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"{_folder()}/out.{kind}"
+        path = f"{_folder(spark)}/out.{kind}"
         sinks.save(_nation(spark, sf_dir), path, kind)
         schema = "n_nationkey long, n_name string, n_regionkey long"
         if kind == "excel":
@@ -215,7 +218,7 @@ def sink(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def dml(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"{_folder()}/nation.csv"
+        path = f"{_folder(spark)}/nation.csv"
         sinks.save(_nation(spark, sf_dir), path, "csv")
         e = Engine(spark)
         e.register("nation", path)
@@ -233,7 +236,7 @@ def window_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_cross_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder()
+    folder = _folder(spark)
     sinks.save(_nation(spark, sf_dir), f"{folder}/n.csv", "csv")
     sinks.save(spark.read.parquet(f"{sf_dir}/region.parquet"), f"{folder}/r.jsonl", "jsonl")
     e = Engine(spark)
@@ -254,7 +257,7 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_csv_max_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_folder()}/urls"
+    path = f"{_folder(spark)}/urls"
     n = _nation(spark, sf_dir)
     n.select(F.concat_ws(":", F.col("n_nationkey").cast("string"), "n_name", F.concat(F.lit("https://x.org:80/"), F.col("n_nationkey").cast("string")))).write.text(path)
     columns = [Column("id", "int", 0), Column("name", "string", 1), Column("url", "string", 2)]
@@ -262,7 +265,7 @@ def scan_csv_max_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_ini(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{_folder()}/nations.ini"
+    path = f"{_folder(spark)}/nations.ini"
     with open(path, "w", encoding="utf-8") as f:
         f.write("; nations\n")
         for r in _nation(spark, sf_dir).orderBy("n_regionkey", "n_nationkey").collect():
