@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of, written
+from .common import tidied, words_of, written
 
 FOLDS, HELD = 7, 2
 WORDS, GROUPS, CLASSES, SWEEPS = 1024, 1024, 48, 8
@@ -89,6 +89,7 @@ def _emit(schema: str, *columns) -> pa.RecordBatch:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n, suffix) over all of ``texts(text)``: words by their XXH64; suffix is their group."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.column(0).to_pylist()
@@ -104,6 +105,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def unit_pairs(texts: DataFrame, units: Units) -> DataFrame:
     """(pair, n): how often each unit follows each, as first * size + second; a text starts after END."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.column(0).to_pylist()
@@ -250,6 +252,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = written(word_counts(known.select("text")), "words")
     model = train(known, counts)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -60,3 +61,29 @@ def text_key(text: Column) -> Column:
 def words_of(text: str | None) -> list[bytes]:
     """Words of a whole text, A-Z lower-cased and nothing else; bytes methods know ASCII only, as wanted."""
     return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def tidy() -> None:
+    """Give back what a batch has freed: a Python worker stays for later stages, whose memory it must not hold."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run):
+    """Run a function of Arrow batches on one batch at a time, and tidy when that and all its objects are gone."""
+
+    @functools.wraps(run)
+    def each(batches):
+        for batch in batches:
+            yield from run(iter((batch,)))
+            del batch
+            tidy()
+
+    return each

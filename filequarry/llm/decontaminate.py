@@ -2,7 +2,8 @@
 
 An item of m bytes that stands in a text with e edits at most shares m + 1 - Q (1 + e) of its Q-grams with it, all within
 e + 1 neighbouring diagonals. Diagonals are dealt into overlapping bands of twice that width, so one band has them all.
-Bands with enough shared Q-grams are regions, and a semi-global alignment of the item within a region decides. Texts are
+Bands with enough shared Q-grams are regions, and a semi-global alignment of the item within a region decides: it may
+have more edits than the lemma allows for, since edits that stand together spoil few Q-grams. Texts are
 compared as UTF-8 with A-Z lower-cased and each white-space byte as a blank.
 """
 
@@ -11,15 +12,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_id, text_key
+from .common import text_key, tidied, tidy
 
 Q = 9
-#: Edits allowed for each byte of an item.
+#: Edits for each byte of an item up to which the lemma finds every place.
 RATE = 0.09
+#: Edits for each byte that a found region may have. Edits that stand together, as in changed words, spoil few Q-grams, so
+#: most places with up to so many are found too.
+ACCEPT = 0.2
 #: Items shorter than this, for which the lemma says nothing, must stand in a text exactly.
 SHORT = 24
 #: Bytes of items that one pass over the documents takes; larger benchmarks need more passes.
@@ -82,6 +87,7 @@ class Index:
         sizes = np.array([len(p) for _, p in self.items], np.int64)
         edits = np.minimum((RATE * sizes).astype(np.int64), sizes // Q - 1)
         self.edits, self.least = edits, sizes + 1 - Q * (1 + edits)
+        self.accept = np.maximum(edits, (ACCEPT * sizes).astype(np.int64))
         h = [grams(p) for _, p in self.items]
         flat = np.concatenate([*h, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
@@ -119,36 +125,44 @@ class Index:
         for b, own, s in zip((bands[enough] & 0xFFFFFFFF).tolist(), owner[enough].tolist(), shared[enough].tolist(), strict=True):
             k, i = divmod(own, len(self.items))
             name, pattern = self.items[i]
-            e = int(self.edits[i])
+            e, most = int(self.edits[i]), int(self.accept[i])
             low = (b - 4) * (e + 1) - 1
-            a, z = max(0, low - e), max(0, low + 2 * (e + 1) + len(pattern) + e)
+            a, z = max(0, low - most), max(0, low + 2 * (e + 1) + len(pattern) + most)
             had = last.get(own)
             if had and low <= had[2] < low + 2 * (e + 1):
                 continue  # the band before has it
-            if found := align(pattern, texts[k][a:z], e):
+            if found := align(pattern, texts[k][a:z], most):
                 cost, start, end = found
                 last[own] = (k, name, start + a, end + a, cost, s)
                 out.append(last[own])
         return out
 
 
+def _search(index: Index, texts: list[str | None]) -> tuple[list[tuple], dict]:
+    """Matches as (text, item, start, end, edits, shared), in code points, and the rows of each text; equal texts are searched once."""
+    where: dict = {}
+    for k, t in enumerate(texts):
+        where.setdefault(t or "", []).append(k)
+    todo, found = list(where), []
+    while todo:
+        some, size = [], 0
+        while todo and (not some or size + len(todo[-1]) < CHUNK):
+            some.append(todo.pop())
+            size += len(some[-1])
+        raw = [plain(t) for t in some]
+        for k, item, a, z, edits, shared in index.search(raw):
+            a, z = (len(raw[k][:x].decode("utf-8", "ignore")) for x in (a, z))
+            found.append((some[k], item, a, z, edits, shared))
+    return found, where
+
+
 def _matches(docs: DataFrame, index: Index) -> DataFrame:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
-            where: dict = {}
-            for k, t in enumerate(texts):
-                where.setdefault(t or "", []).append(k)
-            todo, rows = list(where), []
-            while todo:
-                some, size = [], 0
-                while todo and (not some or size + len(todo[-1]) < CHUNK):
-                    some.append(todo.pop())
-                    size += len(some[-1])
-                raw = [plain(t) for t in some]
-                for k, item, a, z, edits, shared in index.search(raw):
-                    a, z = (len(raw[k][:x].decode("utf-8", "ignore")) for x in (a, z))
-                    rows += [(ids[i], keys[i], item, a, z, edits, shared) for i in where[some[k]]]
+            found, where = _search(index, texts)
+            rows = [(ids[i], keys[i], *m) for t, *m in found for i in where[t]]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = [pa.int64()] * 3 + [pa.int32()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in MATCHES.split(", ")])
@@ -156,6 +170,30 @@ def _matches(docs: DataFrame, index: Index) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")), "text").mapInArrow(run, MATCHES)
 
 
+def _holds(index: Index):
+    """A function from a text column to whether it holds an item of the index."""
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        found, where = _search(index, texts.tolist())
+        out = np.zeros(len(texts), bool)
+        out[[i for t, *_ in found for i in where[t]]] = True
+        tidy()
+        return pd.Series(out)
+
+    return holds
+
+
+def _indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of blocks of items, of BLOCK_BYTES or so each; only one block is on the driver at a time."""
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = 2 * (size // BLOCK_BYTES) + 1
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield Index([tuple(r) for r in block.orderBy("item_id", "text").collect()])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """MATCHES of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``: spans in code points, end exclusive.
 
@@ -163,19 +201,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeated rows each get their rows, repeated items too; other columns are not read; empty tables give no rows. A
     benchmark is taken in blocks of BLOCK_BYTES, by a pass over the documents for each.
     """
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = 2 * (size // BLOCK_BYTES) + 1
     out = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        found = _matches(docs, Index([tuple(r) for r in block.orderBy("item_id", "text").collect()]))
+    for index in _indexes(benchmark):
+        found = _matches(docs, index)
         out = found if out is None else out.union(found)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns."""
-    bad = contamination(docs, benchmark).select(F.coalesce("doc_id", row_id()).alias("__id"), F.col("text_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__id", row_id()).withColumn("__key", text_key(F.col("text")))
-    return keyed.join(bad, ["__id", "__key"], "left_anti").select(*docs.columns)
+    """The rows of docs that hold no benchmark item, with all their columns; no row is moved to decide."""
+    for index in _indexes(benchmark):
+        docs = docs.where(~_holds(index)("text"))
+    return docs

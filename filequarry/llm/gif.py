@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidied
+
 
 UNIT = 192
 #: A stored frame is UNIT samples wide and has this many rows at most; it is shown so many hundredths of a second.
@@ -278,6 +280,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     with equal values; other columns are not read; an empty table gives no rows. Every text is stored whole.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict = {}
@@ -301,6 +304,7 @@ def gif_frames(media: DataFrame, id_column: str, column: str) -> DataFrame:
     Nulls and values that aren't GIFs give no rows.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import text_key, tidied
 
 GRAM, WINDOW = 3, 4
 #: Share of a template's words that must be matched, and by how many words an alignment may drift.
@@ -132,6 +132,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
     """
     scanner = Scanner(templates or TEMPLATES)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict = {}

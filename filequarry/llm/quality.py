@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_id, text_key, written
+from .common import text_key, tidied, tidy
 
 FEATURES = (
     "log_words", "word_bytes", "upper", "shouted", "symbols", "bars", "digits", "points", "blanks", "high_bytes",
@@ -62,22 +62,15 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: dict = {}
-        rows = []
-        for t in batch.column(2).to_pylist():
-            if (f := seen.get(t)) is None:
-                f = seen[t] = features(t)
-            rows.append(f)
-        flat = pa.array(np.array(rows, float).ravel())
-        offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "text_key", "x"])
-
-
-def featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, x) of each row of ``docs(doc_id, text)``."""
-    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("text_key"), "text").mapInArrow(_feature_rows, "doc_id long, text_key long, x array<double>")
+def features_of(texts: Iterable[str | None]) -> np.ndarray:
+    """FEATURES of texts, by row; equal texts are measured once."""
+    seen: dict = {}
+    rows = []
+    for t in texts:
+        if (f := seen.get(t)) is None:
+            f = seen[t] = features(t)
+        rows.append(f)
+    return np.array(rows, float).reshape(-1, len(FEATURES))
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -192,6 +185,36 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
+    """Fit on at most ``sample`` labelled documents that aren't held out; the driver gets only features of those."""
+    chosen = sample_ids(labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD, sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features_of(batch.column(1).to_pylist())
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), batch.column(2)], ["doc_id", "x", "y"])
+
+    rows = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x array<double>, y int").toArrow().to_pydict()
+    x, y = np.array(rows["x"], float).reshape(-1, len(FEATURES)), np.array(rows["y"], float)
+    order = np.lexsort([*x.T, np.array(rows["doc_id"], np.int64)])  # the model must not depend on the order of rows
+    return fit(x[order], y[order])
+
+
+def scorer(model: Additive):
+    """A function from a text column to its scores."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        out = pd.Series(model.score(features_of(texts)))
+        tidy()
+        return out
+
+    return score
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text_key, held_out, score, predicted) of each row of ``docs(doc_id, text)``.
 
@@ -199,22 +222,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     are empty, and empty ones are scored like others. A null doc_id counts as held out; repeated rows each get a row,
     with equal values; other columns are not read; an empty table gives no rows. Without labels every score is 0.5.
     """
-    x = written(featured(docs), "features")
-    chosen = sample_ids(labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD, sample)
-    rows = x.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(sample).select("x", "y").toArrow().to_pydict()
-    model = fit(np.array(rows["x"], float).reshape(-1, len(FEATURES)), np.array(rows["y"], float))
-
-    @F.pandas_udf("double")
-    def score(xs: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack(xs.to_numpy())) if len(xs) else np.zeros(0))
-
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(True))
-    scored = x.select("doc_id", "text_key", held.alias("held_out"), score("x").alias("score"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), held.alias("held_out"), scorer(train(docs, labels, sample))("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns."""
-    bad = classify(docs, labels, threshold).where("predicted = 0").select(F.coalesce("doc_id", row_id()).alias("__id"), F.col("text_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__id", row_id()).withColumn("__key", text_key(F.col("text")))
-    return keyed.join(bad, ["__id", "__key"], "left_anti").select(*docs.columns)
+    """The rows of docs that are not rejected, with all their columns; no row is moved to decide."""
+    return docs.where(scorer(train(docs, labels))("text") >= threshold)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_id, text_key, words_of, written
+from .common import row_id, text_key, tidy, words_of, written
 from .components import components
 
 #: A block value shared by more fingerprints than this goes the way of :func:`_by_centres`, which is exact too.
@@ -49,6 +49,7 @@ def fingerprint_udf(shingle: int):
             if (f := seen.get(t)) is None:
                 f = seen[t] = np.uint64(fingerprint(t, shingle)).astype(np.int64)
             out[i] = f
+        tidy()
         return pd.Series(out)
 
     return run

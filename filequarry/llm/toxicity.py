@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import text_key, tidied, written
 from .quality import fold, sample_ids
 
 #: Labelled rows that the model is fitted on at most; those with the smallest hashes of their ids are taken.
@@ -151,6 +151,7 @@ COUNTS = "term binary, n long, n1 long"
 ROWS = "doc_id long, terms array<binary>, counts array<long>, others long, y int"
 
 
+@tidied
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, n1 = Counter(), Counter()
@@ -177,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     some = some.where((z >= LEAST_Z) & (F.col("n1") >= LEAST_SHARE * F.col("n")))
     top = {bytes(r.term) for r in some.orderBy(-z, "term").limit(TERMS).select("term").collect()}
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [terms_of(t) for t in batch.column(1).to_pylist()]
@@ -201,6 +203,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """
     model = train(docs, labels, sample)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict = {}

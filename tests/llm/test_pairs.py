@@ -22,6 +22,16 @@ def slow_fingerprint(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def slow_ends_all(p, r):
+    """Edits of an item's best place in a text, by the plain recurrence over rows of the whole text."""
+    row = np.zeros(len(r) + 1, int)
+    b, j = np.frombuffer(r, np.uint8), np.arange(len(r) + 1)
+    for i, c in enumerate(p, 1):
+        cost = np.concatenate([[i], np.minimum(row[:-1] + (b != c), row[1:] + 1)])
+        row = np.minimum.accumulate(cost - j) + j
+    return int(row.min())
+
+
 def slow_components(prints, distance=2):
     ids = list(range(len(prints)))
     up = {i: i for i in ids}

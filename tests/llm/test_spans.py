@@ -183,10 +183,23 @@ def test_every_item_within_budget_is_found(spark, make):
     assert {(r.doc_id, r.item_id) for r in got} == want | {(80, 92)}
     for r in got:
         if r.item_id < 90:
-            assert r.edits <= decontaminate.RATE * len(items[r.item_id].encode())
+            assert r.edits <= decontaminate.ACCEPT * len(items[r.item_id].encode())
             assert slow_ends(decontaminate.plain(items[r.item_id]), decontaminate.plain(texts[r.doc_id][r.start : r.end])) == r.edits
 
 
+def test_changed_words_are_found(spark, make):
+    rng = random.Random(8)
+    items = [words(rng, 40) for _ in range(10)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = []
+    for t in items:
+        w = t.split()
+        for k in rng.sample(range(len(w)), 5):
+            w[k] = words(rng, 1)
+        texts.append(f"{words(rng, 50)} {' '.join(w)} {words(rng, 50)}")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(make(texts), bench).collect()} == {(i, i) for i in range(10)}
+
+
 def test_blocks_of_items(spark, make, monkeypatch):
     rng = random.Random(6)
     items = [words(rng, 20) for _ in range(12)]
