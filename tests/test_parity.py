@@ -165,3 +165,43 @@ def test_pushdown(engine, spark, tmp_path):
     e.register("p", str(tmp_path / "p.parquet"))
     plan = e.sql("SELECT a FROM p WHERE b > 5")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(b,5)" in plan and "ReadSchema: struct<a:bigint,b:bigint>" in plan
+
+
+def test_expressions_in_clauses(engine):
+    got = rows(engine, "SELECT LENGTH(first_name) AS n, COUNT(*) AS c FROM employees GROUP BY LENGTH(first_name) ORDER BY LENGTH(first_name) DESC")
+    assert got == [(7, 1), (5, 5), (4, 2), (3, 2)]
+    assert rows(engine, "SELECT *, salary / 2 AS half FROM employees WHERE employee_id = 1")[0][-1] == 37500.0
+    assert rows(engine, "SELECT first_name FROM employees ORDER BY salary / department_id DESC, LENGTH(last_name) LIMIT 1") == [("Charlie",)]
+    assert rows(engine, "SELECT CASE WHEN salary > 100000 THEN 'high' ELSE 'low' END AS band, COUNT(*) AS n FROM employees GROUP BY 1 ORDER BY 1") == [("high", 3), ("low", 7)]
+    assert rows(engine, "SELECT department_name FROM departments WHERE department_id IN (SELECT department_id FROM employees WHERE salary > 100000) ORDER BY 1") == [("Engineering",), ("Marketing",), ("Sales",)]
+
+
+def test_group_keys_do_not_run_together(engine, spark):
+    e = Engine(spark)
+    e.register_frame("g", spark.createDataFrame([("x|", "y"), ("x", "|y"), ("x", "|y"), (None, "y")], "a string, b string"))
+    assert sorted(map(str, rows(e, "SELECT a, b, COUNT(*) AS n FROM g GROUP BY a, b"))) == ["('x', '|y', 2)", "('x|', 'y', 1)", "(None, 'y', 1)"]
+
+
+def test_long_lines_and_patterns(spark, tmp_path):
+    long = "ab" * 100_000
+    (tmp_path / "l.jsonl").write_text(json.dumps({"i": 1, "t": long}) + "\n" + json.dumps({"i": 2, "t": "b"}) + "\n")
+    e = Engine(spark)
+    e.register("l", str(tmp_path / "l.jsonl"))
+    assert rows(e, "SELECT i, LENGTH(t) AS n FROM l ORDER BY i") == [(1, 200_000), (2, 1)]
+    assert rows(e, "SELECT i FROM l WHERE LEFT(t, 60) LIKE '" + "%a" * 12 + "%c'") == []
+
+
+def test_quotes_and_lines(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id:name\n1:"a:b"\n2:"open\n3:c\n\n   \n4:"d ""e"""\n')
+    strict = Engine(spark).register("q", str(tmp_path / "q.csv"), delimiter=":", strict_quotes=True)
+    assert sorted(map(tuple, strict.collect())) == [("1", "a:b"), ("3", "c"), ("4", 'd "e"')]
+    (tmp_path / "t.csv").write_text("id , name \n 1 , a b \n")
+    assert [tuple(r) for r in Engine(spark).register("t", str(tmp_path / "t.csv"), trim_spaces=True).collect()] == [(1, "a b")]
+    bare = Engine(spark).register("b", str(tmp_path / "q.csv"), delimiter=":", allow_quoted=False)
+    assert bare.where("id = 3").first().name == "c" and bare.where("id = 2").first().name == '"open'
+
+
+def test_formats_meet_in_one_query(engine):
+    sql = """SELECT p.name, s.amount FROM sales s JOIN products p ON ROUND(s.amount, 2) = ROUND(p.price * 2, 2) OR s.amount = p.price
+      JOIN prices y ON y.n = 1 ORDER BY s.sale_id"""
+    assert rows(engine, sql) == [("Laptop Pro", 2599.98), ("Office Chair", 299.99), ("Standing Desk", 599.99), ("Laptop Pro", 1299.99)]
