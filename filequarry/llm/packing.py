@@ -8,6 +8,7 @@ best-fit, again pattern by pattern. Pieces are then ranked among those of their
 
 from __future__ import annotations
 
+import functools
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import text_key, tidied, written
 
 LENGTH = 1024
 END_ID = 2
@@ -27,11 +28,12 @@ PIECES = "doc_id long, text_key long, piece int, start long, length long, ids_cr
 RANKED_AT_ONCE = 256
 MOST_SALTS = 1 << 16
 #: Columns that join the fit in one step, and linear systems solved at most.
-_AT_ONCE, _SOLVES = 48, 400
+_AT_ONCE, _SOLVES = 48, 250
 #: How byte-level BPE cuts text into words: a fixed value of that tokenizer family.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+@functools.lru_cache(4)
 def encoder(tokenizer_json: str):
     """A function from a text to its ids, equal to those of the `tokenizers` library for a byte-level BPE file.
 
@@ -71,6 +73,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, end
     the first piece is the short one. Null texts are empty: one piece with end_id only.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_json)
         for batch in batches:
@@ -102,56 +105,59 @@ def patterns(lengths: np.ndarray, full: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def weights(full: int) -> np.ndarray:
+    """How much a length's misfit counts in the fit: long pieces more, as they find fewer partners among what is left."""
+    out = (np.arange(full + 1) + full / 16) / (full + full / 16)
+    out[0] = 0
+    return out
+
+
 def fit(cols: np.ndarray, want: np.ndarray) -> dict[int, float]:
-    """Non-negative least squares of pattern columns against the histogram: the active-set method of Lawson and Hanson.
+    """Weighted non-negative least squares of pattern columns against the histogram, by an active-set method.
 
-    Several columns of the steepest gradients enter at each step, each with its own first length, so that a few dozen
-    steps serve. A solution uses no more patterns than there are lengths.
+    Columns of the steepest gradients enter several at a time, each with lengths of its own, and those whose repeat count
+    turns negative leave at once; fewer enter while that brings nothing. No more patterns than lengths stay.
     """
+    weight = weights(len(want) - 1)
+    target, scale = want * weight, float(want.sum()) or 1.0
     active: list[int] = []
     x = np.zeros(0)
-    scale = want.sum() or 1.0
-    tiny = 1e-7 * scale
+    best: tuple[float, list[int], np.ndarray] = (np.inf, [], x)
+    solves, width, idle = 0, _AT_ONCE, 0
 
     def dense(js: list[int]) -> np.ndarray:
         m = np.zeros((len(want), len(js)))
         for k in range(3):
             np.add.at(m, (cols[js, k], np.arange(len(js))), 1.0)
-        m[0] = 0
-        return m
+        return m * weight[:, None]
 
-    target = want.astype(float).copy()
-    target[0] = 0
-    solves = 0
-    while solves < _SOLVES:
+    while solves < _SOLVES and idle < 6:
         rest = target - (dense(active) @ x if active else 0)
-        grad = rest[cols].sum(1)
+        if (miss := float(rest @ rest)) < best[0] * (1 - 1e-9):
+            best, idle = (miss, active, x), 0
+        else:
+            width, idle = max(1, width // 2), idle + 1
+        grad = (weight * rest)[cols].sum(1)
         grad[active] = 0
         enter, taken = [], set()
-        for j in np.argsort(-grad, kind="stable")[: 40 * _AT_ONCE]:
-            if grad[j] <= tiny or len(enter) >= _AT_ONCE:
+        for j in np.argsort(-grad, kind="stable")[: 40 * width]:
+            if grad[j] <= 1e-7 * scale or len(enter) >= width:
                 break
             if not taken & set(cols[j].tolist()) - {0}:
                 enter.append(int(j))
                 taken |= set(cols[j].tolist())
         if not enter:
             break
-        active, x = active + enter, np.concatenate([x, np.zeros(len(enter))])
-        while active and (solves := solves + 1) <= _SOLVES:
+        active, x = active + enter, np.zeros(0)
+        while active:
+            solves += 1
             m = dense(active)
             s = np.linalg.solve(m.T @ m + 1e-9 * np.eye(len(active)), m.T @ target)
             if (s > 0).all():
                 x = s
                 break
-            low = s <= 0
-            gap = x - s
-            step = min((x[low] / np.where(gap[low] > 0, gap[low], 1)).min(), 1.0)
-            x = x + step * (s - x)
-            stay = ~(low & (x <= 1e-12 * scale))
-            if stay.all():
-                stay[np.argmin(np.where(low, x, np.inf))] = False
-            active, x = [j for j, ok in zip(active, stay, strict=True) if ok], x[stay]
-    return dict(zip(active, x, strict=True))
+            active = [j for j, v in zip(active, s, strict=True) if v > 0]
+    return dict(zip(best[1], best[2].tolist(), strict=True))
 
 
 def plan(histogram: dict[int, int], full: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
