@@ -63,6 +63,7 @@ class TableConfig:
     skip_empty_lines: bool = True
     multi_line: bool = False
     all_strings: bool = False
+    infer_share: float = 1.0
     parallel_reading: bool = True
     worker_threads: int = 0
     chunk_size: int = 0
@@ -142,6 +143,8 @@ def validate(config: TableConfig) -> list[str]:
         faults.append("the delimiter must be one character")
     if len({c.name.lower() for c in config.columns}) < len(config.columns):
         faults.append("column names repeat")
+    if not 0 < config.infer_share <= 1:
+        faults.append("infer_share is no share of the rows")
     if config.max_columns < 0:
         faults.append("max_columns is negative")
     return faults

@@ -29,8 +29,7 @@ def read(spark: SparkSession, config: TableConfig, schema: T.StructType | None =
         return spark.read.parquet(config.file_path)
     if kind in ("json", "jsonl"):
         reader = spark.read.option("mode", "DROPMALFORMED").option("multiLine", kind == "json")
-        if schema:
-            reader = reader.schema(schema)
+        reader = reader.schema(schema) if schema else reader.option("samplingRatio", config.infer_share)
         return reader.json(config.file_path)
     if kind in ("yaml", "ini"):
         register_sources(spark)
@@ -44,7 +43,8 @@ def read(spark: SparkSession, config: TableConfig, schema: T.StructType | None =
 def read_delimited(spark: SparkSession, config: TableConfig) -> DataFrame:
     """CSV and TSV. Quotes are doubled inside quoted values unless another escape is set.
 
-    Without declared columns the types are inferred, or all columns are strings with ``all_strings``.
+    Without declared columns the types are inferred, which reads the rows once more, or the share of them that
+    ``infer_share`` tells; all columns are strings with ``all_strings``.
     """
     if config.max_columns or config.strict_quotes:
         df = _split_lines(spark, config)
@@ -57,7 +57,7 @@ def read_delimited(spark: SparkSession, config: TableConfig) -> DataFrame:
         if schema := config.schema():
             reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType() if config.trim_spaces else f.dataType) for f in schema]))
         elif not config.all_strings:
-            reader = reader.option("inferSchema", True).option("preferDate", True)
+            reader = reader.option("inferSchema", True).option("preferDate", True).option("samplingRatio", config.infer_share)
         df = reader.csv(config.file_path)
         if not config.has_header and not config.columns:
             df = df.toDF(*[f"col_{i}" for i in range(len(df.columns))])

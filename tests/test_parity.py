@@ -152,6 +152,12 @@ def test_strings_that_are_numbers(engine, spark):
     assert len(rows(e, "SELECT first_name FROM t WHERE salary BETWEEN 70000 AND 80000 OR department_id IN (3)")) == 6
 
 
+def test_types_from_a_share_of_rows(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a,b\n" + "\n".join(f"{i},{i / 2}" for i in range(2000)))
+    df = Engine(spark).register("n", str(tmp_path / "n.csv"), infer_share=0.05)
+    assert df.dtypes == [("a", "int"), ("b", "double")] and df.count() == 2000
+
+
 def test_parquet_nulls(engine, spark, tmp_path):
     spark.createDataFrame([(1, None, 1.5), (None, "b", None), (3, "c", 2.5)], "a int, b string, c double").coalesce(1).write.parquet(str(tmp_path / "p.parquet"))
     e = Engine(spark)
