@@ -117,9 +117,12 @@ class Index:
         diagonal = p - starts[text] - self.at[post] + 1  # an item may start a few bytes before its text does
         wide = self.edits[item] + 1
         band = (diagonal + 4 * wide) // wide
-        key = (text * len(self.items) + item) << 32
+        whole = band > 0  # of others, too much of the item would stand before the text
+        text, item, band = text[whole], item[whole], band[whole]
+        pairs, pair = np.unique(text * len(self.items) + item, return_inverse=True)
+        key = pair << 32
         bands, shared = np.unique(np.concatenate([key | band, key | (band - 1)]), return_counts=True)
-        owner = bands >> 32
+        owner = pairs[bands >> 32]
         enough = shared >= self.least[owner % len(self.items)]
         last: dict = {}
         for b, own, s in zip((bands[enough] & 0xFFFFFFFF).tolist(), owner[enough].tolist(), shared[enough].tolist(), strict=True):
