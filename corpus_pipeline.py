@@ -28,8 +28,8 @@ def trim(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def thin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, by shingles of five words, one document stays."""
-    return simhash.near_dedup(docs.select(*COLUMNS), shingle=5)
+    """Of each group of near-duplicates, with 0.8 or more of their shingles of five words in common, one document stays."""
+    return simhash.near_dedup(docs.select(*COLUMNS), shingle=5, similarity=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,6 +125,27 @@ def test_near_dedup(awkward, empty, make):
     assert simhash.near_dedup(make([(None, "a b c"), (None, "a b c"), (None, "d e f g h i")])).count() == 2
 
 
+def test_near_copies_of_similarity_from_08(make):
+    rng = random.Random(12)
+    shingles = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    alike = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    texts, want, seen = [], [], []
+    for k in range(60):
+        own = [f"{w}{i}" for i, w in enumerate(words(rng, 300).split())]
+        other = list(own)
+        for i in rng.sample(range(10, 290), rng.randrange(1, 9)):
+            other[i] = f"new{i}"
+        a, b = f"{k} " + " ".join(own), f"{k} " + " ".join(other)
+        want += [2 * k] if alike(a, b) >= 0.8 else [2 * k, 2 * k + 1]
+        seen.append(alike(a, b))
+        texts += [a, b]
+    assert sum(s >= 0.8 for s in seen) > 20 and min(seen) < 0.8 and sum(s < 0.9 for s in seen) > 20
+    chain = [f"c{i}" for i in range(300)]
+    crowd = [" ".join(chain)] + [" ".join(f"x{k}" if i == 20 + 3 * k else w for i, w in enumerate(chain)) for k in range(80)]
+    kept = sorted(r.doc_id for r in simhash.near_dedup(make(texts + crowd)).select("doc_id").collect())
+    assert kept == [*want, len(texts)]
+
+
 # ---- lines
 
 
