@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ GRAM, WINDOW = 3, 4
 COVERAGE, BAND = 0.75, 12
 #: The wording of public licences and of the usual notices that point to them.
 TEMPLATES = {
+    "reserved-notice": "All rights reserved.",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -36,7 +38,39 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "reserved": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
+    "MIT-licensed": "Licensed under the MIT License.",
+    "BSD-notice": "Released under the BSD License.",
+    "BSD-licensed": "Licensed under the BSD License.",
+    "ISC-notice": "Released under the ISC License.",
+    "ISC-licensed": "Licensed under the ISC License.",
+    "Apache-2.0-notice": "Released under the Apache License, Version 2.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-notice": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "MIT-whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
+#: Whole texts, read once by the driver.
+TEMPLATES |= {f"{p.stem}-whole": p.read_text(encoding="utf-8") for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+#: A line that names licenses by their SPDX identifiers; its license is the expression itself.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)")
 _LOWER = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(rb"[a-z0-9]+")
 FOUND = "doc_id long, text_key long, license string, coverage double, words int, start int, end int"
@@ -92,35 +126,46 @@ class Scanner:
         for name, seq in self.templates.items():
             for at, gram in winnowed(seq).items():
                 self.index[gram].append((name, at))
+        self.counts = {k: Counter(seq) for k, seq in self.templates.items()}
         self.heads = {g.split(b" ", 1)[0] for g in self.index}
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, start, end) of a text, in code points; of overlapping ones the most words stay."""
         raw = (text or "").encode("utf-8", "replace")
         seq, heads, index = words(raw), self.heads, self.index
-        starts: dict[str, set[int]] = defaultdict(set)
+        starts: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i in [i for i, w in enumerate(seq) if w in heads]:
             for name, at in index.get(b" ".join(seq[i : i + GRAM]), ()):
-                starts[name].add(i - at)
+                starts[name][i - at].append(i)
         found = []
         for name, some in starts.items():
-            last = None
-            for s in sorted(some):
-                if last is not None and s - last <= BAND:
-                    continue  # in the same band
-                last = s
-                n, a, z = align(self.templates[name], seq, s)
-                if n >= COVERAGE * len(self.templates[name]):
+            template, need, spans, tried = self.templates[name], self.counts[name], [], []
+            if len(seq) < COVERAGE * len(template):
+                continue
+            # where most fingerprints are first, as what they find spares the others
+            for s, places in sorted(some.items(), key=lambda x: (-len(x[1]), x[0])):
+                if any(abs(s - t) <= BAND for t in tried) or all(any(a <= i <= z for a, z in spans) for i in places):
+                    continue  # in the same band, or found
+                if (Counter(seq[max(0, s - BAND) : s + len(template) + BAND]) & need).total() < COVERAGE * len(template):
+                    continue  # too few of the words are there at all
+                tried.append(s)
+                n, a, z = align(template, seq, s)
+                if n >= COVERAGE * len(template):
+                    spans.append((a, z))
                     found.append((n, a, z, name))
         kept: list[tuple[int, int, int, str]] = []
-        for n, a, z, name in sorted(found, key=lambda f: (-f[0], f[1], f[3])):
+        for n, a, z, name in sorted(found, key=lambda f: (-f[0], len(self.templates[f[3]]), f[1], f[3])):
             if all(z < x or a > y for _, x, y, _ in kept):
                 kept.append((n, a, z, name))
+        told = []
+        if text and "SPDX-License-Identifier" in text:
+            told = [(m[1], 1.0, len(words(m[0].encode())), *m.span()) for m in SPDX.finditer(text)]
         if not kept:
-            return []
+            return told
         spans = [m.span() for m in _WORD.finditer(raw.translate(_LOWER))]
         place = lambda x: len(raw[:x].decode("utf-8", "ignore"))
-        return [(name, n / len(self.templates[name]), n, place(spans[a][0]), place(spans[z][1])) for n, a, z, name in sorted(kept, key=lambda f: f[1])]
+        told += [(name, n / len(self.templates[name]), n, place(spans[a][0]), place(spans[z][1])) for n, a, z, name in kept]
+        return sorted(told, key=lambda f: f[3])
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

@@ -113,6 +113,19 @@ def test_edited_license():
     assert scanner.scan(" ".join(licenses.TEMPLATES["MIT-text"].split()[:30])) == []
 
 
+def test_notices_as_they_stand():
+    scan = lambda t: [(f[0], t[f[3] : f[4]]) for f in licenses.Scanner(licenses.TEMPLATES).scan(t)]
+    assert scan("Some words.\nAll rights reserved.\nMore é words.") == [("reserved-notice", "All rights reserved")]
+    assert scan("Alle Rechte; all the rights we reserved.") == []
+    assert scan("(c) 2020 A. B. Licensed under CC BY-SA 4.0. Enjoy") == [("CC-BY-SA-4.0-notice", "Licensed under CC BY-SA 4.0")]
+    assert scan("x\nReleased under the BSD License.\ny")[0][0] == "BSD-notice"
+    line = "SPDX-License-Identifier: (MIT OR Apache-2.0)"
+    assert scan(f"é // {line}\nint x;") == [(line.split(": ")[1], line)]
+    gpl = licenses.TEMPLATES["GPL-3-whole"].split()
+    del gpl[700:704], gpl[3000]
+    assert [x[0] for x in scan("Before it. " + " ".join(gpl) + " After it.")] == ["GPL-3-whole"]
+
+
 def test_alignment_is_the_longest_common_part():
     rng = random.Random(2)
     for _ in range(40):
