@@ -217,3 +217,19 @@ def test_awkward_lines(awkward, empty):
     assert [r.text for r in rows if r.doc_id == 1] == [None] and [r.text for r in rows if r.doc_id == 2] == [""]
     assert sorted(len(r.text) for r in rows if r.doc_id in (5, 6))[0] == 0
     assert linededup.line_dedup(empty).count() == 0
+
+
+def test_passages_inside_units(make):
+    """Lower-case, indented and caseless passages inside lines."""
+    rng = random.Random(13)
+    lower = lambda n: words(rng, n, 0)
+    caseless = lambda n: " ".join("".join(chr(rng.randrange(0x5D0, 0x5EA)) for _ in range(5)) for _ in range(n))
+    code = "".join(f"\n        {lower(9)}" for _ in range(8))
+    for around, passage in ((lower, lower(80)), (lower, lower(50)), (caseless, caseless(60)), (lambda n: "\n    " + lower(n), code.strip())):
+        texts = [f"{around(25)} {passage} {around(25)}" for _ in range(4)]
+        out = linededup.line_dedup(make(texts)).orderBy("doc_id").collect()
+        assert out[0].text == texts[0]
+        for i in (1, 2, 3):
+            a, z = texts[i].split(passage)
+            assert passage not in out[i].text and 46 <= len(out[i].text.split()) <= 50
+    assert [r.text for r in linededup.line_dedup(make([" \n " + lower(100), " \x0c " + lower(19)])).orderBy("doc_id").collect()][1].startswith(" \x0c ")
