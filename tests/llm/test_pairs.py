@@ -233,3 +233,12 @@ def test_passages_inside_units(make):
             a, z = texts[i].split(passage)
             assert passage not in out[i].text and 46 <= len(out[i].text.split()) <= 50
     assert [r.text for r in linededup.line_dedup(make([" \n " + lower(100), " \x0c " + lower(19)])).orderBy("doc_id").collect()][1].startswith(" \x0c ")
+
+
+def test_words_are_told_apart_by_any_white_space(make):
+    rng = random.Random(14)
+    cells = "\n".join("\t".join(words(rng, 8, 0).split()) for _ in range(12))
+    few = "Begin   " + "   ".join(words(rng, 14, 0).split())
+    out = linededup.line_dedup(make([cells, f"Before\n{cells}\nafter", f"One {few} Two", f"Three {few} Four"])).orderBy("doc_id").collect()
+    assert out[0].text == cells and out[1].text.split() == ["Before", "after"]
+    assert out[3].text == f"Three {few} Four"
