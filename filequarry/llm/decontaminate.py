@@ -100,7 +100,13 @@ class Index:
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, start, end, edits, shared Q-grams) of all matches, in bytes; the same place of an item once."""
-        out = [(k, i, at, at + len(p), 0, max(0, len(p) + 1 - Q)) for k, t in enumerate(texts) for i, p in self.short if (at := t.find(p)) >= 0]
+        out = []
+        for k, t in enumerate(texts):
+            for i, p in self.short:
+                at = t.find(p)
+                while at >= 0:
+                    out.append((k, i, at, at + len(p), 0, max(0, len(p) + 1 - Q)))
+                    at = t.find(p, at + len(p))
         if not self.items:
             return out
         sizes = np.array([len(t) + Q for t in texts], np.int64)

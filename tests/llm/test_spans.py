@@ -231,3 +231,9 @@ def test_awkward_items(spark, awkward, empty):
     none = bench.limit(0)
     assert decontaminate.contamination(awkward, none).count() == 0
     assert decontaminate.contamination(empty, bench).count() == 0
+
+
+def test_short_items_are_found_at_all_places():
+    text = decontaminate.plain("one short item, then one short item and one short item")
+    got = decontaminate.Index([(7, "one short item")]).search([text])
+    assert [(g[1], text[g[2] : g[3]]) for g in got] == [(7, b"one short item")] * 3 and len({g[2] for g in got}) == 3
