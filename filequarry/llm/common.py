@@ -16,12 +16,14 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, only if that is unset, one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; if that is unset, one of our own on a single machine, and else an error."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="filequarry-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -48,6 +50,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it a column that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: Bits of a filter, and of one of its parts as Spark's bitmaps have them: 8 MB in all, however many keys there are.
+FILTER_BITS, PART_BITS = 1 << 26, 1 << 15
+
+
+def perhaps_in(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column ``name``: false only where ``key`` (long) is surely not in the one column of ``keys``.
+
+    The filter's size is fixed, so that it may be broadcast; with very many keys it lets more rows through, and no key
+    is ever lost.
+    """
+    (k,) = keys.columns
+    bit = lambda c: F.pmod(c, F.lit(FILTER_BITS))
+    part, bits, at = unused(df, "filter_part", "filter_bits", "filter_at")
+    parts = keys.select(bit(F.col(k)).alias("b")).groupBy(F.expr(f"b div {PART_BITS}").alias(part))
+    parts = parts.agg(F.bitmap_construct_agg(F.col("b") % PART_BITS).alias(bits))
+    met = df.withColumn(at, bit(key)).withColumn(part, F.expr(f"`{at}` div {PART_BITS}")).join(F.broadcast(parts), part, "left")
+    byte = F.conv(F.hex(F.expr(f"substring(`{bits}`, cast(`{at}` % {PART_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.shiftrightunsigned(byte, 0).bitwiseAND(F.expr(f"shiftleft(1, cast(`{at}` % 8 as int))")) != 0
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(hit, F.lit(False)).alias(name))
+
+
 def row_id() -> Column:
     """doc_id, with nulls made comparable."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
