@@ -67,7 +67,7 @@ class Engine:
         config, df = self.tables.get(name), self.table(change.table)
         if config is None:
             raise DialectError(f"{change.table} is no file")
-        with dml.locked(config.file_path):
+        with dml.locked(self.spark, config.file_path):
             df = sources.read(self.spark, config, df.schema)
             df.createOrReplaceTempView(config.name)
             after, affected = dml.apply(self, df, change)

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import glob
-import os
-import shutil
 import uuid
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import TableConfig
 from ..plans.lexer import DialectError
 from ..plans.statements import Change
+from ..storage import Storage, beside
 
 if TYPE_CHECKING:
     from ..engine import Engine
@@ -24,21 +22,22 @@ WRITABLE = ("csv", "tsv", "jsonl", "parquet", "json", "yaml")
 
 
 @contextlib.contextmanager
-def locked(path: str) -> Iterator[None]:
-    """Hold a lock file beside a local table, so that two processes do not change it at once."""
+def locked(spark: SparkSession, path: str) -> Iterator[None]:
+    """Hold a lock file beside a table, so that two processes do not change it at once.
+
+    On a local disk the system keeps the lock, and the file stays, as another process may wait for it. Elsewhere the file
+    itself is the lock.
+    """
+    lock = beside(path, "lock")
     if "://" in path and not path.startswith("file:"):
-        yield
+        with Storage(spark, path).locked(lock):
+            yield
         return
     import fcntl
 
-    lock = f"{path.removeprefix('file://').rstrip('/')}.lock"
-    with open(lock, "w") as f:
+    with open(lock.removeprefix("file://"), "w") as f:
         fcntl.flock(f, fcntl.LOCK_EX)
-        try:
-            yield
-        finally:
-            with contextlib.suppress(OSError):
-                os.remove(lock)
+        yield
 
 
 def insert(df: DataFrame, new: DataFrame) -> DataFrame:
@@ -90,25 +89,24 @@ def apply(engine: Engine, df: DataFrame, change: Change) -> tuple[DataFrame, int
 
 
 def replace(df: DataFrame, config: TableConfig) -> None:
-    """Write the table beside its path and move it there; a table of one file stays one file."""
+    """Write the table beside its path and move it there; a table of one file stays one file.
+
+    The old table is deleted only when the new one is in its place, and comes back if that fails.
+    """
     from ..sinks import write_rows
 
     if config.format not in WRITABLE:
         raise DialectError(f"{config.format} tables cannot be changed")
-    path = config.file_path.removeprefix("file://").rstrip("/")
-    beside = f"{path}.{uuid.uuid4().hex[:8]}"
+    path, mark = config.file_path.rstrip("/"), uuid.uuid4().hex[:8]
+    new, old = beside(path, mark, ".new"), beside(path, mark, ".old")
+    files = Storage(df.sparkSession, path)
     try:
-        if os.path.isdir(path):
-            write_rows(df, f"{beside}.new", config)
-            os.rename(path, f"{beside}.old")
-            os.rename(f"{beside}.new", path)
-        elif config.format in ("json", "yaml"):
-            write_rows(df, f"{beside}.new", config)
-            os.replace(f"{beside}.new", path)
+        if files.is_dir(path) or config.format in ("json", "yaml"):
+            write_rows(df, new, config)
+            files.put_in_place(new, path, old)
         else:
-            write_rows(df.coalesce(1), f"{beside}.new", config, compressed=path.endswith(".gz"))
-            parts = glob.glob(f"{beside}.new/part-*")
-            os.replace(parts[0], path)
+            write_rows(df.coalesce(1), new, config, compressed=path.endswith(".gz"))
+            (part,) = files.matching(f"{new}/part-*")
+            files.put_in_place(part, path, old)
     finally:
-        for x in (f"{beside}.new", f"{beside}.old"):
-            shutil.rmtree(x, ignore_errors=True)
+        files.delete(new)

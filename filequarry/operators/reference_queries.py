@@ -46,7 +46,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "filter_not_like": ("SELECT c_custkey FROM customer WHERE c_mktsegment NOT LIKE '%ing'", "SELECT c_custkey FROM customer WHERE c_mktsegment NOT ILIKE '%ing'"),
     "filter_in": "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 23)",
     "filter_not_in": "SELECT p_partkey, p_size FROM part WHERE p_size NOT IN (1, 7, 23)",
-    "filter_between": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 1000 AND 1200",
+    "filter_between": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal BETWEEN 1000 AND 2500.5",
     "filter_is_null": ("SELECT c_custkey, seg FROM blanks WHERE seg IS NULL", "SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL END AS seg FROM customer WHERE c_nationkey % 3 < 2"),
     "filter_is_not_null": ("SELECT c_custkey, seg FROM blanks WHERE seg IS NOT NULL", "SELECT c_custkey, c_mktsegment AS seg FROM customer WHERE c_nationkey % 3 = 2"),
     "filter_function": "SELECT c_custkey FROM customer WHERE LENGTH(c_mktsegment) > 8 AND UPPER(c_name) <> 'X'",
@@ -58,12 +58,12 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "join_full": "SELECT s.s_suppkey, n.n_name FROM supplier s FULL OUTER JOIN nation n ON s.s_nationkey = n.n_nationkey AND n.n_regionkey < 3",
     "join_bare_outer": ("SELECT s.s_suppkey, c.c_custkey FROM supplier s OUTER JOIN customer c ON s.s_suppkey = c.c_custkey", "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL OUTER JOIN customer c ON s.s_suppkey = c.c_custkey"),
     "join_theta": "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey > r.r_regionkey",
-    "join_expression": "SELECT n.n_nationkey, r.r_name FROM nation n JOIN region r ON LEFT(n.n_name, 1) = LEFT(r.r_name, 1)",
+    "join_expression": "SELECT c.c_custkey, r.r_name FROM customer c JOIN region r ON LEFT(c.c_mktsegment, 1) = LEFT(r.r_name, 1)",
     "join_multi": "SELECT c.c_custkey, n.n_name, r.r_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey",
     "join_self": "SELECT a.n_name AS one, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_semi": ("SELECT c_custkey FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE c.c_custkey = o.o_custkey)"),
-    "join_anti": ("SELECT c_custkey FROM customer c LEFT ANTI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE c.c_custkey = o.o_custkey)"),
-    "join_anti_is_null": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL",
+    "join_anti": ("SELECT c_custkey FROM customer c LEFT ANTI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE c.c_custkey = o.o_custkey AND o.o_totalprice > 400000)"),
+    "join_anti_is_null": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000 WHERE o.o_orderkey IS NULL",
     "join_then_filter": "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 5000 AND o.o_orderstatus = 'O'",
     "join_group_by": "SELECT n.n_name, COUNT(*) AS n FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name",
     "join_order_limit": "SELECT o.o_orderkey, UPPER(c.c_name) AS who, o.o_totalprice FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey LIMIT 20",
@@ -122,7 +122,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "set_union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
     "set_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 0",
-    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders",
+    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey AS k FROM orders WHERE o_totalprice > 400000",
 }
 
 NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
@@ -134,7 +134,8 @@ FRAME_ORACLES: dict[str, str] = {
     "scan_parquet": "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01'",
     "scan_csv_max_columns": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, 'https://x.org:80/' || n_nationkey AS url FROM nation",
     "scan_ini": "SELECT 'region' || n_regionkey AS section, 'nation' || n_nationkey AS key, n_name AS value, CAST(1 + 2 * ROW_NUMBER() OVER (ORDER BY n_regionkey, n_nationkey) AS BIGINT) AS line FROM nation",
-    "stream_windows": "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type",
+    "stream_windows": """SELECT "start", "start" + INTERVAL 1 HOUR AS "end", event_type, COUNT(*) AS n FROM (SELECT date_trunc('hour', ts) AS "start", event_type FROM events) e
+  WHERE "start" + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY "start", event_type""",
     "dml_insert": f"{NATION} UNION ALL SELECT 100, 'NOWHERE', NULL UNION ALL SELECT 101, 'ELSE', 3",
     "dml_update": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN UPPER(n_name) || '!' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN n_nationkey ELSE n_regionkey END AS n_regionkey FROM nation",
     "dml_delete": f"{NATION} WHERE NOT (n_regionkey IN (1, 2) OR n_name = 'CHINA')",
@@ -142,8 +143,12 @@ FRAME_ORACLES: dict[str, str] = {
 }
 SCANS = ("csv", "csv_delimited", "csv_gz", "tsv", "json", "jsonl", "yaml")
 SINKS = ("csv", "json", "jsonl", "yaml", "parquet", "excel")
+#: What files are written from and read back as: nulls, quotes and delimiters in values, dates, decimals and booleans.
+ACCOUNTS = """SELECT CAST(c_custkey AS BIGINT) AS k, CASE WHEN c_custkey % 7 <> 0 THEN c_name || ': "' || c_mktsegment || '", x' END AS name,
+  CASE WHEN c_nationkey % 5 <> 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 11 <> 0 THEN {day} END AS day,
+  CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS {amount}) AS amount, c_acctbal > 0 AS flag FROM customer"""
 for _k in (*(f"scan_{s}" for s in SCANS), *(f"sink_{s}" for s in SINKS)):
-    FRAME_ORACLES[_k] = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
+    FRAME_ORACLES[_k] = ACCOUNTS.format(day="CAST(CAST(DATE '2020-02-28' + CAST(c_custkey % 1000 AS INTEGER) AS DATE) AS VARCHAR)", amount="DOUBLE")
 
 _KEPT: list[str] = []
 
@@ -181,17 +186,27 @@ def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/nation.parquet")
 
 
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir, "customer").spark.sql(ACCOUNTS.format(day="date_add(DATE '2020-02-28', CAST(c_custkey % 1000 AS INT))", amount="DECIMAL(12, 2)"))
+
+
+def _read_back(df: DataFrame) -> DataFrame:
+    return df.select(
+        F.col("k").cast("long").alias("k"), F.col("name").cast("string").alias("name"), F.col("balance").cast("double").alias("balance"),
+        F.col("day").cast("date").cast("string").alias("day"), F.col("amount").cast("decimal(12, 2)").cast("double").alias("amount"), F.col("flag").cast("boolean").alias("flag"),
+    )
+
+
 def scan(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         fmt, options = {"csv_delimited": ("csv", {"delimiter": ":"}), "csv_gz": ("csv", {})}.get(kind, (kind, {}))
-        path = f"{_folder(spark)}/nation.{fmt}{'.gz' if kind == 'csv_gz' else ''}"
-        df = _nation(spark, sf_dir)
+        path = f"{_folder(spark)}/accounts.{fmt}{'.gz' if kind == 'csv_gz' else ''}"
+        df = _accounts(spark, sf_dir)
         if kind in ("json", "yaml"):
             sinks.write_rows(df, path, TableConfig(name="n", file_path=path))
         else:
             sinks.save(df, path, fmt, **options)
-        out = Engine(spark).register("n", path, **options)
-        return out.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+        return _read_back(Engine(spark).register("n", path, **options))
 
     return run
 
@@ -199,19 +214,20 @@ def scan(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 def sink(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{_folder(spark)}/out.{kind}"
-        sinks.save(_nation(spark, sf_dir), path, kind)
-        schema = "n_nationkey long, n_name string, n_regionkey long"
+        sinks.save(_accounts(spark, sf_dir), path, kind)
         if kind == "excel":
-            return spark.createDataFrame([(int(a), b, int(c)) for a, b, c in read_xlsx(path)[1:]], schema)
+            text = lambda v: None if v in (None, "") else str(v).lower() if isinstance(v, bool) else str(int(v) if isinstance(v, float) and v.is_integer() else v)
+            head, *rows = read_xlsx(path)
+            return _read_back(spark.createDataFrame([[text(v) for v in r] for r in rows], ", ".join(f"{c} string" for c in head)))
         if kind == "yaml":
             import yaml
 
             with open(path, encoding="utf-8") as f:
-                return spark.createDataFrame([(r["n_nationkey"], r["n_name"], r["n_regionkey"]) for r in yaml.safe_load(f)["data"]], schema)
+                data = yaml.safe_load(f)["data"]
+            return _read_back(spark.createDataFrame([(r["k"], r["name"], r["balance"], str(r["day"]) if r["day"] else None, r["amount"], r["flag"]) for r in data], "k long, name string, balance double, day string, amount double, flag boolean"))
         if kind == "json":
-            return spark.read.option("multiLine", True).json(path).select(F.explode("data").alias("r")).select("r.n_nationkey", "r.n_name", "r.n_regionkey")
-        df = Engine(spark).register("n", path, format=kind)
-        return df.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+            return _read_back(spark.read.option("multiLine", True).json(path).select(F.explode("data").alias("r")).select("r.*"))
+        return _read_back(Engine(spark).register("n", path, format=kind))
 
     return run
 
@@ -278,16 +294,24 @@ def func_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts of a followed folder, added up once all its files are read."""
+    """Closed hourly windows of a followed folder. Its files come one by one; the last has rows of the first once more.
+
+    Those are later than the watermark of two files before allows, so no window counts them, and windows that the
+    watermark has not passed are still open and not given.
+    """
     from ..streaming import follow, windowed_counts
 
-    name = f"counts_{abs(hash(sf_dir)) % 10**8}"
-    config = TableConfig(name="events", file_path=f"{sf_dir}/events.parquet*", format="parquet")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    counts = windowed_counts(follow(spark, config, schema), "ts", ["event_type"], late="3650 days")
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    folder = _folder(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("quarter", F.ntile(4).over(Window.orderBy("ts", "event_id")))
+    for n in (1, 2, 3, 4):
+        rows = e.where((F.col("quarter") == n) | ((F.col("quarter") == 1) & F.lit(n == 4))).drop("quarter")
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    stream = follow(spark, TableConfig(name="events", file_path=f"{folder}/events", format="parquet"), e.drop("quarter").schema, files_per_trigger=1)
+    counts = windowed_counts(stream, "ts", ["event_type"])
+    query = counts.writeStream.format("parquet").option("path", f"{folder}/counts").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).groupBy("event_type").agg(F.sum("n").alias("n"))
+    told = spark.read.schema(counts.schema).parquet(f"{folder}/counts")
+    return told.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
 
 
 FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import datetime
 import decimal
-import glob
+import gzip
+import io
 import json
-import os
-import shutil
 import sys
 import uuid
 from collections.abc import Iterator
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import TableConfig
+from ..storage import Storage, beside as hidden
 from .xlsx import write_xlsx
 
 ALIASES = {"text": "table", "json-lines": "jsonl", "ndjson": "jsonl", "yml": "yaml", "xlsx": "excel"}
@@ -54,38 +54,78 @@ def rows(df: DataFrame) -> Iterator[dict[str, Any]]:
         yield {c: plain(v) for c, v in zip(df.columns, r, strict=True)}
 
 
-def _envelope(df: DataFrame) -> dict[str, Any]:
-    data = list(rows(df))
-    return {"columns": df.columns, "data": data, "count": len(data)}
+def _list(data: Iterator[dict[str, Any]], kind: str, out: IO[str], indent: int = 0) -> int:
+    """A JSON or YAML list, row by row, and how many there were."""
+    n, pad = 0, " " * indent
+    if kind == "json":
+        for r in data:
+            text = json.dumps(r, ensure_ascii=False, indent=2).replace("\n", f"\n{pad}  ")
+            out.write(f"{',' if n else '['}\n{pad}  {text}")
+            n += 1
+        out.write(f"\n{pad}]" if n else "[]")
+        return n
+    import yaml
+
+    for r in data:
+        out.write("".join(f"{pad}{line}\n" for line in yaml.safe_dump([r], sort_keys=False, allow_unicode=True).splitlines()))
+        n += 1
+    if not n:
+        out.write(f"{pad}[]\n")
+    return n
+
+
+def _envelope(df: DataFrame, kind: str, out: IO[str]) -> None:
+    """columns, data and count, as one document; rows are written as they come."""
+    if kind == "json":
+        out.write('{\n  "columns": ' + json.dumps(df.columns, ensure_ascii=False, indent=2).replace("\n", "\n  ") + ',\n  "data": ')
+        n = _list(rows(df), kind, out, 2)
+        out.write(f',\n  "count": {n}\n}}')
+        return
+    import yaml
+
+    out.write(yaml.safe_dump({"columns": df.columns}, sort_keys=False, allow_unicode=True) + "data:\n")
+    n = _list(rows(df), kind, out, 2)
+    out.write(f"count: {n}\n")
 
 
 def show(df: DataFrame, out: IO[str]) -> int:
-    """A boxed table and its number of rows."""
-    told = [["" if v is None else str(v) for v in r.values()] for r in rows(df)]
-    if not told:
+    """A boxed table and its number of rows. Rows come one by one, twice, as all cells set a column's width."""
+    df = df.persist()
+    try:
+        return _boxed(df, out)
+    finally:
+        df.unpersist()
+
+
+def _boxed(df: DataFrame, out: IO[str]) -> int:
+    cut = lambda s: s if len(s) <= CELL else s[: CELL - 3] + "..."
+    cells = lambda: ([cut(("" if v is None else str(v)).replace("\n", " ")) for v in r.values()] for r in rows(df))
+    head = [cut(c.replace("\n", " ")) for c in df.columns]
+    wide, n = [len(c) for c in head], 0
+    for r in cells():
+        wide = [max(w, len(c)) for w, c in zip(wide, r, strict=True)]
+        n += 1
+    if not n:
         out.write("No results found.\n")
         return 0
-    cut = lambda s: s if len(s) <= CELL else s[: CELL - 3] + "..."
-    cells = [[cut(c.replace("\n", " ")) for c in r] for r in [df.columns, *told]]
-    wide = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
     bar = "+" + "+".join("-" * (w + 2) for w in wide) + "+\n"
     line = lambda r: "| " + " | ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)) + " |\n"
-    out.write(bar + line(cells[0]) + bar + "".join(map(line, cells[1:])) + bar + f"({len(told)} rows)\n")
-    return len(told)
+    out.write(bar + line(head) + bar)
+    n = 0
+    for r in cells():
+        out.write(line(r))
+        n += 1
+    out.write(bar + f"({n} rows)\n")
+    return n
 
 
 def write_rows(df: DataFrame, path: str, config: TableConfig, compressed: bool = False) -> None:
     """A table in its own format, as its configuration says: a folder, or one file for JSON arrays and YAML lists."""
     kind = config.format
     if kind in ("json", "yaml"):
-        with open(path, "w", encoding="utf-8") as f:
-            data = list(rows(df))
-            if kind == "json":
-                json.dump(data, f, ensure_ascii=False, indent=2)
-            else:
-                import yaml
-
-                yaml.safe_dump(data, f, sort_keys=False, allow_unicode=True)
+        out = io.StringIO()
+        _list(rows(df), kind, out)
+        Storage(df.sparkSession, path).write(path, out.getvalue().encode())
         return
     writer = df.write.option("compression", "gzip") if compressed else df.write
     if kind in ("csv", "tsv"):
@@ -117,16 +157,24 @@ def save(df: DataFrame, path: str | None, fmt: str = "table", *, single: bool =
     if fmt == "excel":
         write_xlsx(path, df.columns, (list(r.values()) for r in rows(df)))
     elif fmt in ("table", "json", "yaml"):
-        with _open(path, compression) as f:
+        if "://" in path and not path.startswith("file:"):
+            text = io.StringIO()
+            _print(df, text, fmt, delimiter)
+            raw = text.getvalue().encode()
+            Storage(df.sparkSession, path).write(path, gzip.compress(raw) if _packed(path, compression) else raw)
+            return
+        with _open(path.removeprefix("file://"), compression) as f:
             _print(df, f, fmt, delimiter)
     else:
         _save_rows(df, path, fmt, single, compression, "\t" if fmt == "tsv" else delimiter)
 
 
-def _open(path: str, compression: str | None) -> IO[str]:
-    if compression == "gzip" or path.endswith(".gz"):
-        import gzip
+def _packed(path: str, compression: str | None) -> bool:
+    return compression == "gzip" or path.endswith(".gz")
+
 
+def _open(path: str, compression: str | None) -> IO[str]:
+    if _packed(path, compression):
         return gzip.open(path, "wt", encoding="utf-8")
     return open(path, "w", encoding="utf-8")
 
@@ -135,15 +183,13 @@ def _print(df: DataFrame, out: IO[str], fmt: str, delimiter: str) -> None:
     if fmt == "table":
         show(df, out)
     elif fmt == "json":
-        json.dump(_envelope(df), out, ensure_ascii=False, indent=2)
+        _envelope(df, fmt, out)
         out.write("\n")
     elif fmt == "jsonl":
         for r in rows(df):
             out.write(json.dumps(r, ensure_ascii=False) + "\n")
     elif fmt == "yaml":
-        import yaml
-
-        yaml.safe_dump(_envelope(df), out, sort_keys=False, allow_unicode=True)
+        _envelope(df, fmt, out)
     else:
         import csv
 
@@ -153,7 +199,8 @@ def _print(df: DataFrame, out: IO[str], fmt: str, delimiter: str) -> None:
 
 
 def _save_rows(df: DataFrame, path: str, fmt: str, single: bool, compression: str | None, sep: str) -> None:
-    beside = f"{path}.{uuid.uuid4().hex[:8]}" if single else path
+    mark = uuid.uuid4().hex[:8]
+    beside = hidden(path, mark, ".new") if single else path
     out = df.coalesce(1) if single else df
     if not out.isStreaming and fmt in ("csv", "tsv"):
         out = out.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType.typeName() in ("array", "map", "struct", "binary") else F.col(f"`{f.name}`") for f in out.schema])
@@ -168,6 +215,7 @@ def _save_rows(df: DataFrame, path: str, fmt: str, single: bool, compression: st
     else:
         writer.parquet(beside)
     if single:
-        parts = glob.glob(f"{beside}/part-*")
-        os.replace(parts[0], path)
-        shutil.rmtree(beside)
+        files = Storage(df.sparkSession, path)
+        (part,) = files.matching(f"{beside}/part-*")
+        files.put_in_place(part, path, hidden(path, mark, ".old"))
+        files.delete(beside)

@@ -9,14 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import TableConfig
-from .textual import IniSource, YamlSource
+from .textual import read_ini, read_yaml
 
-__all__ = ["read", "register_sources"]
-
-
-def register_sources(spark: SparkSession) -> None:
-    for source in (YamlSource, IniSource):
-        spark.dataSource.register(source)
+__all__ = ["read"]
 
 
 def read(spark: SparkSession, config: TableConfig, schema: T.StructType | None = None) -> DataFrame:
@@ -31,12 +26,10 @@ def read(spark: SparkSession, config: TableConfig, schema: T.StructType | None =
         reader = spark.read.option("mode", "DROPMALFORMED").option("multiLine", kind == "json")
         reader = reader.schema(schema) if schema else reader.option("samplingRatio", config.infer_share)
         return reader.json(config.file_path)
-    if kind in ("yaml", "ini"):
-        register_sources(spark)
-        reader = spark.read.format(f"filequarry_{kind}")
-        if schema and kind == "yaml":
-            reader = reader.schema(schema)
-        return reader.load(config.file_path)
+    if kind == "yaml":
+        return read_yaml(spark, config.file_path, schema)
+    if kind == "ini":
+        return read_ini(spark, config.file_path)
     return read_delimited(spark, config)
 
 
@@ -46,7 +39,7 @@ def read_delimited(spark: SparkSession, config: TableConfig) -> DataFrame:
     Without declared columns the types are inferred, which reads the rows once more, or the share of them that
     ``infer_share`` tells; all columns are strings with ``all_strings``.
     """
-    if config.max_columns or config.strict_quotes:
+    if config.max_columns or config.strict_quotes or not config.skip_empty_lines:
         df = _split_lines(spark, config)
     else:
         reader = spark.read.options(
@@ -81,20 +74,26 @@ def _split_lines(spark: SparkSession, config: TableConfig) -> DataFrame:
     """Lines cut at the delimiter into ``max_columns`` values at most, the last of which keeps all that follows.
 
     Values in quotes are taken whole, delimiters and all. With ``strict_quotes`` lines with an odd number of quotes go.
+    Of each file the first line is the header. Empty lines are rows of empty values unless ``skip_empty_lines``.
     """
-    lines = spark.read.text(config.file_path).where(F.trim("value") != "")
+    lines = spark.read.text(config.file_path)
+    if config.skip_empty_lines:
+        lines = lines.where(F.trim("value") != "")
     q, sep = re.escape(config.quote), re.escape(config.delimiter)
-    if config.strict_quotes:
-        lines = lines.where((F.length("value") - F.length(F.replace("value", F.lit(config.quote)))) % 2 == 0)
     n = config.max_columns or -1
     names = [c.name for c in config.columns]
     if config.has_header and not names:
         first = lines.select("value").first()
         names = [x.strip().strip(config.quote) for x in (first[0].split(config.delimiter, n - 1 if n > 0 else -1) if first else [])]
-    if config.has_header and names:
-        head = config.delimiter.join(names)
-        bare = F.replace("value", F.lit(config.quote)) if config.allow_quoted else F.col("value")
-        lines = lines.where(F.regexp_replace(bare, rf"\s*{sep}\s*", config.delimiter.replace("$", r"\$")) != head)
+    if config.has_header and config.skip_empty_lines:
+        # Spark's CSV reader knows where files begin; whole lines are its one value, as no text has the delimiter
+        lines = spark.read.schema("value string").csv(config.file_path, sep="\uffff", quote="", header=True).where(F.trim("value") != "")
+    elif config.has_header:
+        numbered = spark.read.text(config.file_path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+        starts = numbered.where("file_block_start = 0").groupBy("file_path").agg(F.min("row").alias("row"))
+        lines = numbered.join(starts.select("row"), "row", "left_anti").select("value")
+    if config.strict_quotes:
+        lines = lines.where((F.length("value") - F.length(F.replace("value", F.lit(config.quote)))) % 2 == 0)
     if not names:
         names = [f"col_{i}" for i in range(n if n > 0 else 1)]
     if not config.allow_quoted:

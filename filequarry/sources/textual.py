@@ -1,149 +1,122 @@
-"""Python data sources for YAML lists of maps and for INI files; each file is one partition."""
+"""YAML lists of maps and INI files. Spark reads the files, whole and wherever they are; each is parsed in one task."""
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import BooleanType, DataType, DateType, DoubleType, LongType, StringType, StructField, StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_RANK = [BooleanType(), LongType(), DoubleType(), DateType(), StringType()]
+_KINDS = {"boolean": T.BooleanType(), "long": T.LongType(), "double": T.DoubleType(), "date": T.DateType(), "string": T.StringType()}
+INI = "section string, key string, value string, line long"
 
 
-def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://").removeprefix("file:")
-    if os.path.isdir(path):
-        return sorted(p for p in glob.glob(f"{path}/*") if not os.path.basename(p).startswith(("_", ".")))
-    return sorted(glob.glob(path)) or [path]
-
-
-def _text(path: str) -> str:
-    if path.endswith(".gz"):
-        import gzip
-
-        with gzip.open(path, "rt", encoding="utf-8") as f:
-            return f.read()
-    with open(path, encoding="utf-8") as f:
-        return f.read()
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of each file; compressed ones are told by their extension."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def _rows(text: str) -> list[dict]:
     import yaml
 
     told = yaml.safe_load(text)
-    return [r for r in told if isinstance(r, dict)] if isinstance(told, list) else []
+    return [{str(k): v for k, v in r.items()} for r in told if isinstance(r, dict)] if isinstance(told, list) else []
 
 
-def _kind(v: object) -> DataType:
+def _kind(v: object) -> str | None:
     import datetime
 
+    if v is None:
+        return None
     if isinstance(v, bool):
-        return _RANK[0]
-    if isinstance(v, int):
-        return _RANK[1]
-    if isinstance(v, float):
-        return _RANK[2]
-    if isinstance(v, datetime.date) and not isinstance(v, datetime.datetime):
-        return _RANK[3]
-    return _RANK[4]
-
-
-def _meet(a: DataType, b: DataType) -> DataType:
-    if a == b:
-        return a
-    return _RANK[2] if {a, b} == {_RANK[1], _RANK[2]} else _RANK[4]
-
-
-class YamlSource(DataSource):
-    """``path``: files that each hold a list of maps. Keys of any row are columns; other files give no rows."""
+        return "boolean"
+    if isinstance(v, (int, float)):
+        return "long" if isinstance(v, int) else "double"
+    return "date" if isinstance(v, datetime.date) and not isinstance(v, datetime.datetime) else "string"
 
-    @classmethod
-    def name(cls) -> str:
-        return "filequarry_yaml"
 
-    def schema(self) -> StructType:
-        kinds: dict[str, DataType] = {}
-        for f in _files(self.options["path"]):
-            for row in _rows(_text(f)):
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            seen: dict[tuple, int] = {}
+            for row in _rows(text):
                 for k, v in row.items():
-                    if v is not None:
-                        kinds[str(k)] = _meet(kinds.get(str(k), _kind(v)), _kind(v))
-                    else:
-                        kinds.setdefault(str(k), StringType()) if str(k) not in kinds else None
-        return StructType([StructField(k, t) for k, t in kinds.items()])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Yaml(self.options["path"], schema)
-
-
-class _Yaml(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.fields = path, [(f.name, f.dataType) for f in schema]
-
-    def partitions(self) -> list[InputPartition]:
-        return [_File(f) for f in _files(self.path)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for row in _rows(_text(partition.path)):
-            row = {str(k): v for k, v in row.items()}
-            yield tuple(self._value(row.get(n), t) for n, t in self.fields)
-
-    @staticmethod
-    def _value(v: object, kind: DataType) -> object:
-        if v is None:
-            return None
-        try:
-            if isinstance(kind, StringType):
-                return v if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
-            if isinstance(kind, DoubleType):
-                return float(v)
-            if isinstance(kind, LongType):
-                return int(v)
-        except (TypeError, ValueError):
-            return None
-        return v
-
-
-class IniSource(DataSource):
-    """``path``: INI files as rows of section, key, value and line number. ``;`` and ``#`` start comments."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "filequarry_ini"
-
-    def schema(self) -> StructType:
-        return StructType([StructField("section", StringType()), StructField("key", StringType()), StructField("value", StringType()), StructField("line", LongType())])
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Ini(self.options["path"])
-
-
-class _Ini(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [_File(f) for f in _files(self.path)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        section = ""
-        for n, line in enumerate(_text(partition.path).splitlines(), 1):
-            line = line.strip()
-            if not line or line[0] in ";#":
-                continue
-            if line[0] == "[" and line[-1] == "]":
-                section = line[1:-1].strip()
-                continue
-            key, eq, value = line.partition("=")
-            if eq:
-                value = value.strip()
-                if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
-                    value = value[1:-1]
-                yield section, key.strip(), value, n
+                    seen.setdefault((k, _kind(v)), len(seen))
+            told = [(file, n, k, kind) for (k, kind), n in seen.items()]
+            yield pa.RecordBatch.from_pylist([dict(zip(("file", "n", "key", "kind"), t, strict=True)) for t in told], pa.schema([("file", pa.string()), ("n", pa.int64()), ("key", pa.string()), ("kind", pa.string())]))
+
+
+def yaml_schema(files: DataFrame) -> T.StructType:
+    """Keys of any row, in order of appearance, with the kind that all their values have."""
+    found = files.mapInArrow(_columns, "file string, n long, key string, kind string")
+    keys = found.groupBy("key").agg(F.min(F.struct("file", "n")).alias("at"), F.collect_set("kind").alias("kinds")).collect()
+
+    def met(kinds: set[str]) -> T.DataType:
+        return _KINDS["double" if kinds == {"long", "double"} else next(iter(kinds)) if len(kinds) == 1 else "string"]
+
+    return T.StructType([T.StructField(r.key, met(set(r.kinds))) for r in sorted(keys, key=lambda r: tuple(r["at"]))])
+
+
+def _value(v: object, kind: T.DataType) -> object:
+    if v is None:
+        return None
+    try:
+        if isinstance(kind, T.StringType):
+            return v if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return float(v)
+        if isinstance(kind, T.IntegralType):
+            return int(v)
+    except (TypeError, ValueError):
+        return None
+    return v
+
+
+def read_yaml(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Files that each hold a list of maps; others give no rows. Without a schema the files are read once more."""
+    files = _whole(spark, path)
+    schema = schema or yaml_schema(files)
+    if not schema.fields:
+        return spark.createDataFrame([], schema)
+    fields = [(f.name, f.dataType) for f in schema]
+
+    def parsed(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            for text in batch["value"]:
+                rows = [[_value(r.get(n), t) for n, t in fields] for r in _rows(text)]
+                yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, (n, _) in enumerate(fields)})
+
+    return files.select("value").mapInPandas(parsed, schema)
+
+
+def _entries(text: str) -> Iterator[tuple[str, str, str, int]]:
+    section = ""
+    for n, line in enumerate(text.splitlines(), 1):
+        line = line.strip()
+        if not line or line[0] in ";#":
+            continue
+        if line[0] == "[" and line[-1] == "]":
+            section = line[1:-1].strip()
+            continue
+        key, eq, value = line.partition("=")
+        if eq:
+            value = value.strip()
+            if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
+                value = value[1:-1]
+            yield section, key.strip(), value, n
+
+
+def read_ini(spark: SparkSession, path: str) -> DataFrame:
+    """INI files as rows of section, key, value and line number. ``;`` and ``#`` start comments."""
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                cols = list(zip(*_entries(text), strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int64()], strict=True)], ["section", "key", "value", "line"])
+
+    return _whole(spark, path).select("value").mapInArrow(parsed, INI)

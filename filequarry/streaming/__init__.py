@@ -28,7 +28,7 @@ def follow(spark: SparkSession, config: TableConfig, schema: StructType | None =
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows per key and tumbling window of event time; rows later than ``late`` are dropped, and state with them."""
-    window = F.window(F.col(time).cast("timestamp"), width)
+    window = F.window(time, width)
     return (
         stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(window.alias("w"), *keys)
         .agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")

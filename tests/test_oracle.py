@@ -38,6 +38,11 @@ def test_query(spark, duck, name):
     at = {x[0]: i for i, x in enumerate(r.description)}
     assert sorted(at) == cols
     want = [tuple(told(x[at[c]]) for c in cols) for x in r.fetchall()]
-    assert sorted(map(str, rows)) == sorted(map(str, want))
+    assert sorted(map(str, rows)) == sorted(map(str, want)) and (rows or name == "limit_offset_words")  # its offset is beyond the smallest table
     if "ORDER BY" in SQL[name] and "OVER" not in SQL[name]:
         assert rows == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_join_broadcast_is_one(spark):
+    assert "BroadcastHashJoin" in QUERIES["join_broadcast"](spark, DATA)._jdf.queryExecution().executedPlan().toString()

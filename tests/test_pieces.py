@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from filequarry import Engine, TableConfig, catalog, cli, sinks
 from filequarry.plans import dialect, lexer, statements
 from filequarry.sinks.xlsx import read_xlsx
+from filequarry.storage import Storage
 
 SCHEMAS = {"t": T.StructType([T.StructField("s", T.StringType()), T.StructField("n", T.LongType())])}
 
@@ -93,7 +94,64 @@ def test_changes(table):
     assert [r[:2] for r in content(e)] == [(3, "three"), (4, "it's"), (4, 'q"x!'), (5, ""), (9, "nine")]
     assert (3, "three", 6.0) in content(e)
     assert n("DELETE FROM t WHERE 1 = 1") == 5 and content(e) == []
-    assert [f for f in os.listdir(os.path.dirname(path)) if not f.startswith("t.")] == [] and os.listdir(os.path.dirname(path)) == [os.path.basename(path)]
+    name = os.path.basename(path)
+    assert sorted(os.listdir(os.path.dirname(path))) == [f".{name}.lock", name]
+
+
+def test_a_change_that_fails_leaves_the_old_table(table, monkeypatch):
+    e, path = table
+    real = Storage.rename
+
+    def broken(self, old, new):
+        if new == path and not old.endswith(".old"):
+            raise OSError("no")
+        real(self, old, new)
+
+    before = content(e)
+    monkeypatch.setattr(Storage, "rename", broken)
+    with pytest.raises(OSError):
+        e.sql("DELETE FROM t WHERE id = 1").collect()
+    monkeypatch.undo()
+    e.register("t", path)
+    assert content(e) == before
+    name = os.path.basename(path)
+    assert sorted(os.listdir(os.path.dirname(path))) == [f".{name}.lock", name]
+
+
+def test_the_lock_file_elsewhere_has_one_holder(spark, tmp_path):
+    files, lock = Storage(spark, str(tmp_path)), f"{tmp_path}/.t.lock"
+    with files.locked(lock):
+        with pytest.raises(TimeoutError), files.locked(lock, 0.2):
+            pass
+        assert files.exists(lock)
+    assert not files.exists(lock)
+
+
+def test_lines_that_equal_the_header_are_rows(spark, tmp_path):
+    for n in (1, 2):
+        (tmp_path / f"{n}.csv").write_text("a:b\n1:x:y\na:b\n\n2:'z'\n")
+    e = Engine(spark)
+    e.register("t", str(tmp_path), format="csv", delimiter=":", quote="'", max_columns=2)
+    rows = sorted(tuple(r) for r in e.sql("SELECT a, b FROM t").collect())
+    assert rows == sorted([("1", "x:y"), ("a", "b"), ("2", "z")] * 2)
+    e.register("u", str(tmp_path), format="csv", delimiter=":", quote="'", max_columns=2, skip_empty_lines=False)
+    rows = sorted(tuple(x or "" for x in r) for r in e.sql("SELECT a, b FROM u").collect())
+    assert rows == sorted([("1", "x:y"), ("a", "b"), ("2", "z"), ("", "")] * 2)
+
+
+def test_yaml_and_ini_folders(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "1.yaml").write_text("- {a: 1, b: x}\n- {b: y, c: 2020-01-02}\n")
+    with gzip.open(tmp_path / "y" / "2.yaml.gz", "wt") as f:
+        f.write("- {a: 2.5, d: true}\n")
+    e = Engine(spark)
+    df = e.register("y", str(tmp_path / "y"), format="yaml")
+    assert df.dtypes == [("a", "double"), ("b", "string"), ("c", "date"), ("d", "boolean")]
+    assert sorted(str(tuple(r)) for r in df.collect()) == sorted(["(1.0, 'x', None, None)", "(None, 'y', datetime.date(2020, 1, 2), None)", "(2.5, None, None, True)"])
+    (tmp_path / "i.ini").write_text("[s]\nk = 'v'\n; no\nx=1\n")
+    assert [tuple(r) for r in e.register("i", f"file://{tmp_path}/i.ini", format="ini").collect()] == [("s", "k", "v", 2), ("s", "x", "1", 4)]
 
 
 def test_insert_without_a_last_newline(spark, tmp_path):
