@@ -68,9 +68,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def _linked(spans: DataFrame) -> DataFrame:
-    """The weak spans beside their complements. A block of the join holds what starts in SCOPE characters of one text."""
-    weak = spans.where("not base").withColumn("block", F.explode(F.sequence(F.expr(f"greatest((start - 2 * {SCOPE}) div {SCOPE}, 0)"), F.expr(f"(end + {SCOPE}) div {SCOPE}"))))
-    sides = spans.select("id", "text_key", "kind", F.col("start").alias("s"), F.col("end").alias("e"), F.expr(f"start div {SCOPE}").alias("block"))
+    """The weak spans beside their complements. A block of the join holds what reaches into SCOPE characters of one text."""
+    weak = spans.where("not base").withColumn("block", F.explode(F.expr(f"sequence(greatest(start - {SCOPE}, 0) div {SCOPE}, (end + {SCOPE}) div {SCOPE})")))
+    sides = spans.select("id", "text_key", "kind", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.expr(f"sequence(start div {SCOPE}, end div {SCOPE})")).alias("block"))
 
     def beside(left: DataFrame, *kinds: str) -> DataFrame:
         right = sides.where(F.col("kind").isin(*kinds)).drop("kind")

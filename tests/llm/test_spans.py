@@ -58,6 +58,29 @@ def test_weak_parts_need_each_other(make):
     assert weak(make, f"login=bob {far} password=abcdefgh1") == []
 
 
+def test_long_complements(spark, make, tmp_path):
+    """Complements of 1 to 5,000 characters, before and behind, held against the plain rule and the registered SQL."""
+    import duckdb
+
+    from filequarry.llm import queries
+
+    rng = random.Random(11)
+    texts, want = [], []
+    for size in (1, 8, 200, 250, 300, 511, 512, 513, 960, 2000, 5000):
+        for gap in (1, 250, 255, 256, 257, 300, 600):
+            token, pad = "token=" + "aB3" * (size // 3) + "x" * (size % 3), " " * rng.randrange(600)
+            for text in (f"{pad}{token}{' ' * gap}login=bob", f"{pad}login=bob{' ' * gap}{token}"):
+                texts.append(text)
+                want.append(size >= secrets.LEAST_ASSIGNED and gap <= secrets.SCOPE)
+    rows = {r.doc_id: r.spans for r in secrets.scan_secrets(make(texts)).collect()}
+    assert [any(s.kind == "login" for s in rows[i]) for i in range(len(texts))] == want
+    make(texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    told = duck.execute(f"select doc_id, spans from ({queries.oracle_sql()['op7_secrets']}) q order by doc_id").fetchall()
+    assert told == [(r.doc_id, r.spans) for r in queries.op7_secrets(spark, str(tmp_path)).orderBy("doc_id").collect()]
+
+
 def test_awkward_secrets(awkward, empty):
     rows = secrets.scan_secrets(awkward).collect()
     assert len(rows) == awkward.count() and not any(r.spans for r in rows)
