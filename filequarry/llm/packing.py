@@ -32,6 +32,9 @@ _AT_ONCE, _SOLVES = 48, 250
 #: How byte-level BPE cuts text into words: a fixed value of that tokenizer family.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as that pattern has it, and from what length on a run of it is cut out before.
+BLANK, LONG_BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000", 50_000
+
 
 @functools.lru_cache(4)
 def encoder(tokenizer_json: str):
@@ -55,7 +58,22 @@ def encoder(tokenizer_json: str):
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     ranks = {bytes(byte[c] for c in word): i for word, i in told["model"]["vocab"].items() if word not in added}
-    plain = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+    long_blank = re.compile(f"(?<![{BLANK}])[{BLANK}]{{{LONG_BLANK},}}")
+
+    def plain(text: str) -> list[int]:
+        if len(text) < LONG_BLANK or not long_blank.search(text):
+            return encoding.encode_ordinary(text)
+        # that library's pattern engine gives up on very long white space; such a run, but for a last blank that may
+        # belong to the word after it, is one word of the pattern, and so goes to the merge loop as it is
+        out, at = [], 0
+        for run in long_blank.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += encoding.encode_ordinary(text[at : run.start()])
+            out += encoding._core_bpe.encode_single_piece(text[run.start() : end].encode())
+            at = end
+        return out + encoding.encode_ordinary(text[at:])
+
     cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def ids(text: str) -> list[int]:
@@ -222,7 +240,8 @@ def pack(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, end_id: int
     Each sequence holds at most ``length`` tokens, without gaps. Null texts are empty; rows with a null doc_id are packed
     like others; repeated rows each get places of their own; other columns are not read. An empty table gives no rows.
     """
-    pieces = written(token_pieces(docs, tokenizer_json, length, end_id), "pieces")
+    # rows that are equal in all else are told apart by their number, which is stored and so stays the same
+    pieces = written(token_pieces(docs, tokenizer_json, length, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark, done, base, slots = docs.sparkSession, Counter(), 0, []
     for lengths, n in plan(counts, length):
@@ -233,10 +252,10 @@ def pack(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, end_id: int
         base += n
     schema = "length long, low long, wide long, many long, base long, at long"
     salts = max(1, min(MOST_SALTS, sum(counts.values()) // RANKED_AT_ONCE))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "salt", F.expr("sum(n) over (partition by length order by salt) - n").alias("before"))
-    rank = F.expr("row_number() over (partition by length, salt order by doc_id, piece, ids_crc32, text_key) - 1")
+    rank = F.expr("row_number() over (partition by length, salt order by row) - 1")
     ranked = salted.withColumn("own", rank).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
     # a length meets at most a few thousand patterns, whatever the input: the plan's size is bounded by the lengths
     of = spark.createDataFrame(slots, schema).groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "wide", "many", "base", "at"))).alias("slots"))

@@ -31,6 +31,29 @@ def test_ids_are_those_of_the_tokenizers_library(tokenizer):
         assert ours(t) == slow.encode(t, add_special_tokens=False).ids, t
 
 
+def test_very_long_white_space(tokenizer):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    slow, ours = Tokenizer.from_str(tokenizer), packing.encoder(tokenizer)
+    n = packing.LONG_BLANK
+    texts = [" " * 5_000_000 + "a", "b" + "\n" * 5_000_000, " \n\t" * 400_000 + "<|endoftext|>" + "\r\n" * 400_000 + " é", "\u3000 " * n + "x  y", "\x1c" * (n + 1) + "a"]
+    for k in (n - 1, n, n + 1):
+        texts += [a + c * k + b for a in ("", "a", "é.") for b in ("", "b", "'s", "!", "\x1c") for c in (" ", "\n")]
+        texts.append("x" + "".join(rng.choice(" \n\t\xa0") for _ in range(k)) + "y " * 20 + "\n" * k + " z")
+    for t in texts:
+        assert ours(t) == slow.encode(t, add_special_tokens=False).ids, (len(t), t[:5], t[-5:])
+
+
+def test_equal_rows_are_dealt_out(make, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED_AT_ONCE", 4)
+    docs = [(None, "the same text")] * 90 + [(7, "the same text")] * 60
+    rows = packing.pack(make(docs), tokenizer, 64).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 150
+    for places in [sorted((r.offset, r.length) for r in rows if r.sequence_id == s) for s in {r.sequence_id for r in rows}]:
+        assert [a for a, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))]
+
+
 def check(rows, docs, encode, length):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
