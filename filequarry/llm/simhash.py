@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_id, text_key, tidy, words_of, written
+from .common import row_id, text_key, tidy, unused, words_of, written
 from .components import components
 
 #: A block value shared by more fingerprints than this goes the way of :func:`_by_centres`, which is exact too.
@@ -230,6 +230,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, distance: int = 2, similarity:
     label = written(components(similar_links(prints, texts, near, shingle, similarity)), "labels")
     groups = prints.join(label, prints.fp == label.node, "left").select("id", "unnamed", "text_key", F.coalesce("label", "fp").alias("group"))
     first = groups.groupBy("group").agg(F.min(F.struct("unnamed", "id", "text_key")).alias("k"))
-    keep = first.select(F.col("k.id").alias("_id"), F.col("k.text_key").alias("_key"))
-    kept = docs.withColumn("_id", row_id()).withColumn("_key", text_key(F.col("text"))).join(keep, ["_id", "_key"], "left_semi")
-    return kept.dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    i, k = unused(docs, "id", "text_key")
+    keep = first.select(F.col("k.id").alias(i), F.col("k.text_key").alias(k))
+    kept = docs.withColumn(i, row_id()).withColumn(k, text_key(F.col("text"))).join(keep, [i, k], "left_semi")
+    return kept.dropDuplicates([i, k]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -120,7 +120,8 @@ def test_near_dedup(awkward, empty, make):
     kept = simhash.near_dedup(awkward)
     assert kept.columns == awkward.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i) == [1, 4, 4, 5, 7, 8]  # id 4 has two texts that differ, one of them thrice
+    assert sorted(i for i in ids if i) == [1, 4, 4, 5, 7, 8, 9]  # id 4 has two texts that differ, one of them thrice
+    assert all(r[c] == "clash" for r in kept.collect() for c in kept.columns[5:])
     assert simhash.near_dedup(empty).count() == 0
     assert simhash.near_dedup(make([(None, "a b c"), (None, "a b c"), (None, "d e f g h i")])).count() == 2
 
@@ -214,6 +215,7 @@ def test_awkward_lines(awkward, empty):
     assert out.count() == awkward.count()
     assert set(out.columns) == set(awkward.columns)
     rows = out.collect()
+    assert all(r[c] == "clash" for r in rows for c in awkward.columns[5:] if c not in ("n_units", "runs"))
     assert [r.text for r in rows if r.doc_id == 1] == [None] and [r.text for r in rows if r.doc_id == 2] == [""]
     assert sorted(len(r.text) for r in rows if r.doc_id in (5, 6))[0] == 0
     assert linededup.line_dedup(empty).count() == 0
