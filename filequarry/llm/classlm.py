@@ -1,16 +1,19 @@
 """LM scoring by class-based bigrams: exchange clustering deals words into classes.
 
-Every word belongs to one unit: each of the WORDS commonest words is a unit of its own, and all others share GROUPS units
-by their last three bytes. Exchange clustering moves units between CLASSES classes while the likelihood of the corpus's
-class bigrams grows. A token's probability is that of its class after the class before it, times that of its unit in the
-class, times that of the word in the unit, each smoothed. Unit counts, and so all that the driver works on, are bounded;
-word counts are not, so rarer words meet their counts in a join.
+Every word with at least a HEAD-th of all tokens has a class of its own choice. First the WORDS commonest words, and all
+others in GROUPS units by their last three bytes, are exchanged between CLASSES classes while the likelihood of the
+corpus's class bigrams grows. Then each other word leaves its group's class for the one that gains most by the classes
+before and after it, which are counted by shuffle. Words rarer than that, of which no class could be told, stay in their
+groups. A token's probability is that of its class after the class before it, times that of its word (or group) in the
+class, and in a group times that of the word there, each smoothed. What the driver works on is bounded by HEAD, WORDS
+and GROUPS; word counts are not, so words of groups meet their counts in a join.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import tidied, words_of, written
 
 FOLDS, HELD = 7, 2
-WORDS, GROUPS, CLASSES, SWEEPS = 1024, 1024, 48, 8
-#: A word with at least this share of all training tokens is looked up where it stands; there are 500,000 at most.
+WORDS, GROUPS, CLASSES, SWEEPS = 1024, 1024, 48, 40
+#: A word with at least a 500,000th of all training tokens is one of its own; there are 500,000 at most.
 HEAD = 500_000
 #: Weight of a class's overall share when what follows a class is estimated, and what is added to each unit's count.
 BACK, ADD = 20.0, 0.02
@@ -67,21 +70,67 @@ def chunks(texts: list[str | None]) -> Iterator[slice]:
         at = to
 
 
-class Units:
-    """Word hashes to units: END, then own ones, then groups by the last bytes."""
+@dataclass
+class Vocabulary:
+    """Ids of words: END, then words of their own by falling count, then groups of all others by their last bytes."""
+
+    hashes: np.ndarray  # ascending
+    ids: np.ndarray  # of these
+    n: np.ndarray  # counts in training, by id of END and own words
+    suffix: np.ndarray  # group that an own word would be in, by id
+    tokens: int
+    types: int
 
-    def __init__(self, top: Iterable[int]):
-        self.own = {h: i for i, h in enumerate(top, 1)}
-        self.groups = 1 + len(self.own)
-        self.size = self.groups + GROUPS
+    @property
+    def groups(self) -> int:
+        """The first group's id."""
+        return len(self.n)
+
+    @property
+    def size(self) -> int:
+        return self.groups + GROUPS
+
+    @functools.cached_property
+    def own(self) -> dict[int, int]:
+        return dict(zip(self.hashes.tolist(), self.ids.tolist(), strict=True))
 
     def of(self, tokens: Tokens, hashes: np.ndarray) -> np.ndarray:
-        own, crc, first = self.own.get, zlib.crc32, self.groups
-        return np.array([u if (u := own(h)) else first + crc(w[-3:]) % GROUPS for h, w in zip(hashes.tolist(), tokens.words, strict=True)], np.int64)
+        """An id for each of the tokens' words."""
+        out = np.zeros(len(hashes), np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            out = np.where(self.hashes[at] == hashes, self.ids[at], 0)
+        rest = np.nonzero(out == 0)[0]
+        crc, words, first = zlib.crc32, tokens.words, self.groups
+        out[rest] = [first + crc(words[i][-3:]) % GROUPS for i in rest.tolist()]
+        return out
+
+    def units(self) -> np.ndarray:
+        """The unit, in the first exchange, of each id: the WORDS commonest words have their own, others their group's."""
+        head = min(WORDS, self.groups - 1) + 1
+        of = np.concatenate([np.arange(head), head + self.suffix[head:], head + np.arange(GROUPS)])
+        return of.astype(np.int64)
+
+
+def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
+    """The WORDS commonest words, and all with at least a HEAD-th of all tokens, become own ones."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    tokens, types = int(total.n) + ends, int(total.v) + (ends > 0)
+    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).select("word").collect()]
+    told = counts.where(own_word(tokens, top)).select("word", "n", "suffix").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    word, n, suffix = (told[c].to_numpy().astype(np.int64) for c in ("word", "n", "suffix"))
+    order = np.argsort(word)
+    out = Vocabulary(word[order], (order + 1).astype(np.int64), np.concatenate([[ends], n]), np.concatenate([[0], suffix]), tokens, types)
+    out.top = top
+    return out
+
+
+def own_word(tokens: int, top: list[int]):
+    return (F.col("n") * HEAD >= tokens) | F.col("word").isin(top)
 
 
 def _emit(schema: str, *columns) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "int": pa.int32()}
+    kinds = {"long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "int": pa.int32()}
     fields = [x.split(" ") for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
@@ -102,20 +151,109 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word long, n long, suffix long").groupBy("word").agg(F.sum("n").alias("n"), F.min("suffix").alias("suffix"))
 
 
-def unit_pairs(texts: DataFrame, units: Units) -> DataFrame:
-    """(pair, n): how often each unit follows each, as first * size + second; a text starts after END."""
+TOKENS = "doc_id long, held_out int, n_tokens long, known long, base double, ids array<int>, words array<long>, many array<long>"
+
+
+def tokenised(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """TOKENS of each row of ``docs(doc_id, held_out, text)``: ids, the last of which is END.
+
+    Words that are not own ones meet their counts later: their hashes are in ``words``, and how often they stand there in
+    ``many``. ``known`` and ``base`` are about the others: how many occur in training, and their part of the base score.
+    """
+    grown = np.log10(v.n + 1.0)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.column(0).to_pylist()
-            for part in chunks(some):
-                t = Tokens.of(some[part])
-                u = np.append(units.of(t, t.hashes()), END)[t.place]
-                pair, n = np.unique(np.concatenate([[END], u[:-1]]) * units.size + u, return_counts=True)
-                yield _emit("pair long, n long", pair, n)
+            texts = batch.column(2).to_pylist()
+            for part in chunks(texts):
+                rows = [batch.column(i).slice(part.start, part.stop - part.start) for i in (0, 1)]
+                t = Tokens.of(texts[part])
+                h, size = t.hashes(), part.stop - part.start
+                ids = np.append(v.of(t, h), END)[t.place]
+                own = ids < v.groups
+                n = np.bincount(t.text, minlength=size)
+                base = np.bincount(t.text, np.where(own, grown[np.where(own, ids, 0)], 0.0), size) - n * np.log10(v.tokens + v.types + 1)
+                known = np.bincount(t.text, own & (v.n[np.where(own, ids, 0)] > 0), size).astype(np.int64)
+                tail = np.nonzero(~own)[0]
+                pair, many = np.unique(t.text[tail] * (len(h) + 1) + t.place[tail], return_counts=True)
+                text, word = np.divmod(pair, len(h) + 1)
+                cut = pa.array(np.searchsorted(text, np.arange(size + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int64())) for x in (h[word] if len(word) else np.zeros(0, np.int64), many)]
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                yield _emit(TOKENS, *rows, n, known, base, pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32))), *lists)
 
-    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, TOKENS)
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    """What is before each token; texts end with END, which so stands before the first token of the next."""
+    return np.concatenate([[END], x[:-1]])
+
+
+def pair_counts(tokens: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """How often each of ``size`` kinds follows each, over all of ``tokens(ids)``; ``of`` tells the kind of each id."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = of[batch.column(0).flatten().to_numpy()]
+            pair, n = np.unique(_before(u) * size + u, return_counts=True)
+            yield _emit("pair long, n long", pair, n)
+
+    got = tokens.select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((size, size))
+    out.reshape(-1)[got["pair"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def exchange_rest(tokens: DataFrame, v: Vocabulary, own: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The class of each id after all own words beyond the commonest have been exchanged once, against the class bigrams.
+
+    How often each class stands before and after each word is counted by shuffle, and each word goes to the class that
+    gains most by it, to first order, its own share taken out of the class that it is in.
+    """
+    head, last = min(WORDS, v.groups - 1) + 1, v.groups
+    if head >= last:
+        return own
+
+    @tidied
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).flatten().to_numpy().astype(np.int64)
+            cls = own[ids]
+            at = np.nonzero((ids >= head) & (ids < last))[0]
+            sides = ids[at] * (2 * CLASSES) + _before(cls)[at], ids[at] * (2 * CLASSES) + CLASSES + cls[np.minimum(at + 1, len(cls) - 1)]
+            key, n = np.unique(np.concatenate(sides), return_counts=True)
+            yield _emit("key long, n long", key, n)
+
+    f = np.log(np.maximum(grid, 0.5))
+    rows, cols = (np.log(np.maximum(grid.sum(k), 0.5)) for k in (1, 0))
+
+    @tidied
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = batch.column(1).to_pylist()
+            ids = batch.column(0).to_numpy().astype(np.int64)
+            x = np.zeros((len(ids), 2 * CLASSES))
+            for i, pairs in enumerate(told):
+                for p in pairs:
+                    x[i, p["c"]] += p["n"]
+            left, right = x[:, :CLASSES], x[:, CLASSES:]
+            n = left.sum(1)
+            gain = left @ f + right @ f.T - n[:, None] * (rows + cols)[None, :]
+            a, i = own[ids], np.arange(len(ids))
+            less = lambda y: np.log(np.maximum(y, 0.5))
+            gain[i, a] = (left * less(grid.T[a] - left)).sum(1) + (right * less(grid[a] - right)).sum(1) - n * (less(grid.sum(1)[a] - n) + less(grid.sum(0)[a] - n))
+            gain[:, 0] = -np.inf  # END is alone
+            yield _emit("id long, c long", ids, gain.argmax(1))
+
+    counted = tokens.select("ids").mapInArrow(contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    by_word = counted.groupBy(F.expr(f"key div {2 * CLASSES}").alias("id")).agg(F.collect_list(F.struct((F.col("key") % (2 * CLASSES)).alias("c"), "n")).alias("pairs"))
+    got = by_word.mapInArrow(best, "id long, c long").toArrow()
+    out = own.copy()
+    out[got["id"].to_numpy()] = got["c"].to_numpy()
+    return out
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -172,72 +310,49 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 
 @dataclass
 class Model:
-    """Logarithms to base 10: of a class after a class, of a unit in its class, and of a unit's words' common divisor."""
+    """Logarithms to base 10: of a class after a class, of an id in its class, and of a group's words' common divisor."""
 
-    units: Units
+    units: Vocabulary
     own: np.ndarray
     follows: np.ndarray
     emits: np.ndarray
     divisor: np.ndarray
-    head: dict[int, int]
-    ends: int
-    tokens: int
-    types: int
 
-    def parts(self, texts: list[str | None]) -> tuple:
-        """By text: tokens, known ones among them that are looked up here, log parts of base and score, and tail words.
-
-        What is missing from both scores is the sum of log10(n + 1) over the tail words, n their counts in training.
-        """
-        t = Tokens.of(texts)
-        h = t.hashes()
-        u = np.append(self.units.of(t, h), END)
-        n = np.append(np.fromiter((self.head.get(x, -1) for x in h.tolist()), np.int64, len(h)), self.ends)
-        unit, count, size = u[t.place], n[t.place], len(texts)
-        grown = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-        first = np.concatenate([[True], t.place[:-1] < 0])
-        cls = self.own[unit]
-        prev = np.where(first, 0, np.concatenate([[0], cls[:-1]]))
-        by = lambda x: np.bincount(t.text, x, size)
-        in_group = unit >= self.units.groups
-        score = by(self.follows[prev, cls] + self.emits[unit] + np.where(in_group, grown, 0.0) - self.divisor[unit])
-        base = by(grown) - np.bincount(t.text, minlength=size) * np.log10(self.tokens + self.types + 1)
-        tail = np.nonzero(count < 0)[0]
-        pair, many = np.unique(t.text[tail] * (len(h) + 1) + t.place[tail], return_counts=True)
-        text, word = np.divmod(pair, len(h) + 1)
-        offsets = np.searchsorted(text, np.arange(size + 1)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, pa.int64())) for x in (h[word] if len(word) else np.zeros(0, np.int64), many)]
-        return np.bincount(t.text, minlength=size), by(count > 0).astype(np.int64), base, score, *lists
+    def scores(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Of texts that begin at ``starts``; sums of log10(n + 1) over words of groups, n their counts, are missing."""
+        cls = self.own[ids]
+        each = self.follows[_before(cls), cls] + (self.emits - self.divisor)[ids]
+        return np.add.reduceat(each, starts) if len(starts) else np.zeros(0)
+
+
+def learn(tokens: DataFrame, counts: DataFrame, v: Vocabulary) -> Model:
+    """The model of all of ``tokens(ids)``, whose word_counts are given."""
+    of = v.units()
+    pairs = pair_counts(tokens, of, int(of.max()) + 1)
+    member = exchange(pairs)
+    onehot = np.zeros((len(pairs), CLASSES))
+    onehot[np.arange(len(pairs)), member] = 1
+    own = exchange_rest(tokens, v, member[of], onehot.T @ pairs @ onehot)
+    grid = pair_counts(tokens, own, CLASSES)
+    n, divisor = np.concatenate([v.n, np.zeros(GROUPS)]), np.zeros(v.size)
+    rest = counts.where(~own_word(v.tokens, v.top)).groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    for r in rest.collect():
+        n[v.groups + r.suffix] = r.n
+        divisor[v.groups + r.suffix] = np.log10(r.n + r.v + 1)
+    size, many = np.bincount(own, n, CLASSES), np.bincount(own, minlength=CLASSES)
+    share = (size + 1) / (size.sum() + CLASSES)
+    follows = np.log10((grid + BACK * share) / (grid.sum(1, keepdims=True) + BACK))
+    emits = np.log10((n + ADD) / (size + ADD * many)[own])
+    return Model(v, own, follows, emits, divisor)
 
 
 def train(docs: DataFrame, counts: DataFrame) -> Model:
     """The model of all of ``docs(doc_id, text)``, whose word_counts are given."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    ends = docs.count()
-    tokens, types = int(total.n) + ends, int(total.v) + (ends > 0)
-    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).select("word").collect()]
-    told = counts.where((F.col("n") * HEAD >= tokens) | F.col("word").isin(top)).select("word", "n").toArrow()
-    head = dict(zip(told["word"].to_pylist(), told["n"].to_pylist(), strict=True))
-    units = Units(top)
-    pairs = np.zeros((units.size, units.size))
-    got = unit_pairs(docs.select("text"), units).toArrow()
-    pairs.reshape(-1)[got["pair"].to_numpy()] = got["n"].to_numpy()
-    own = exchange(pairs)
-    n = pairs.sum(0)
-    sums = counts.where(~F.col("word").isin(top)).groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    divisor = np.zeros(units.size)
-    for r in sums:
-        divisor[units.groups + r.suffix] = np.log10(r.n + r.v + 1)
-    member = np.zeros((units.size, CLASSES))
-    member[np.arange(units.size), own] = 1
-    grid, size = member.T @ pairs @ member, member.T @ n
-    share = (size + 1) / (size.sum() + CLASSES)
-    follows = np.log10((grid + BACK * share) / (grid.sum(1, keepdims=True) + BACK))
-    emits = np.log10((n + ADD) / (size + ADD * member.sum(0))[own])
-    return Model(units, own, follows, emits, divisor, head, ends, tokens, types)
+    v = vocabulary(counts, docs.count())
+    return learn(tokenised(docs.select(F.col("doc_id").cast("long"), F.lit(0).alias("held_out"), "text"), v), counts, v)
 
 
-PARTS = "doc_id long, held_out int, n_tokens long, known long, base double, score double, words array<long>, many array<long>"
+SCORED = "row long, doc_id long, held_out int, n_tokens long, known long, base double, score double"
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -245,29 +360,32 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     The model learns from rows whose crc32(doc_id) has not the held-out remainder. Null and empty texts are one token,
     the end. A null doc_id trains, as if not held out; repeated rows count each time and each get a row; other columns
-    are not read; an empty table gives no rows. Words are told apart by 64-bit hashes.
+    are not read; an empty table gives no rows. Words are told apart by 64-bit hashes. Texts are taken apart twice, for
+    the word counts and then into ids, which are stored; all else reads these.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD, F.lit(False))
     known = docs.select("doc_id", "text").where(~held)
     counts = written(word_counts(known.select("text")), "words")
-    model = train(known, counts)
+    v = vocabulary(counts, known.count())
+    told = tokenised(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.cast("int").alias("held_out"), "text"), v)
+    tokens = written(told.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    model = learn(tokens.where("held_out = 0"), counts, v)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for part in chunks(texts):
-                rows = [batch.column(i).slice(part.start, part.stop - part.start) for i in (0, 1)]
-                yield _emit(PARTS, *rows, *model.parts(texts[part]))
+            lists = batch.column(6)
+            starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
+            ids = lists.values.to_numpy()[starts[0] : lists.offsets[-1].as_py()] if len(starts) else np.zeros(0, np.int32)
+            yield _emit(SCORED, *[batch.column(i) for i in range(6)], model.scores(ids, starts - starts[0] if len(starts) else starts))
 
-    parts = docs.select(F.col("doc_id").cast("long"), held.cast("int").alias("held_out"), "text").mapInArrow(run, PARTS)
-    parts = written(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
-    tails = parts.select("row", F.explode(F.arrays_zip("words", "many")).alias("t")).select("row", F.col("t.words").alias("word"), "t.many")
+    parts = tokens.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "ids").mapInArrow(run, SCORED)
+    tails = tokens.select("row", F.explode(F.arrays_zip("words", "many")).alias("t")).select("row", F.col("t.words").alias("word"), "t.many")
     met = tails.join(counts.select("word", "n"), "word").groupBy("row")
     met = met.agg(F.sum(F.col("many") * F.log10(F.col("n") + 1)).alias("more"), F.sum("many").alias("met"))
-    out = parts.drop("words", "many").join(met, "row", "left")
+    out = parts.join(met, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", (F.col("held_out") == 1).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
     )
