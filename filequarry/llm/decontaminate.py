@@ -5,6 +5,10 @@ e + 1 neighbouring diagonals. Diagonals are dealt into overlapping bands of twic
 Bands with enough shared Q-grams are regions, and a semi-global alignment of the item within a region decides: it may
 have more edits than the lemma allows for, since edits that stand together spoil few Q-grams. Texts are
 compared as UTF-8 with A-Z lower-cased and each white-space byte as a blank.
+
+Items go one way, whatever their length. Short ones, of less than SHORT bytes, get no edits beyond the lemma's and must
+stand between word bounds, as such strings also occur inside of words. An item without a Q-gram says nothing about the
+text around it, so it matches a text that is nothing else.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ RATE = 0.09
 #: Edits for each byte that a found region may have. Edits that stand together, as in changed words, spoil few Q-grams, so
 #: most places with up to so many are found too.
 ACCEPT = 0.2
-#: Items shorter than this, for which the lemma says nothing, must stand in a text exactly.
+#: Items shorter than this must stand between word bounds, with no more edits than the lemma allows for.
 SHORT = 24
 #: Bytes of items that one pass over the documents takes; larger benchmarks need more passes.
 BLOCK_BYTES = 8 << 20
@@ -77,36 +81,45 @@ def _ends(item: bytes, region: bytes) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def _bounded(text: bytes, start: int, end: int) -> bool:
+    """Whether no word goes on over either end of a stretch."""
+    letter = lambda i: 0 <= i < len(text) and (text[i] >= 128 or text[i : i + 1].isalnum())
+    return not (letter(start - 1) and letter(start)) and not (letter(end - 1) and letter(end))
+
+
 class Index:
     """The Q-grams of items, and what each item's edit budget asks for."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        every = [(i, plain(t)) for i, t in items if plain(t).strip()]
-        self.short = [(i, p.strip()) for i, p in every if len(p.strip()) < SHORT]
-        self.items = [(i, p.strip()) for i, p in every if len(p.strip()) >= SHORT]
+        every = [(i, p) for i, t in items if (p := plain(t).strip())]
+        self.tiny: dict[bytes, list[int]] = {}
+        for i, p in every:
+            if len(p) < Q:
+                self.tiny.setdefault(p, []).append(i)
+        self.items = [(i, p) for i, p in every if len(p) >= Q]
         sizes = np.array([len(p) for _, p in self.items], np.int64)
         edits = np.minimum((RATE * sizes).astype(np.int64), sizes // Q - 1)
         self.edits, self.least = edits, sizes + 1 - Q * (1 + edits)
-        self.accept = np.maximum(edits, (ACCEPT * sizes).astype(np.int64))
+        self.accept = np.where(sizes < SHORT, edits, np.maximum(edits, (ACCEPT * sizes).astype(np.int64)))
         h = [grams(p) for _, p in self.items]
         flat = np.concatenate([*h, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
         at = np.concatenate([*[np.arange(len(x)) for x in h], np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(flat, kind="stable")
-        self.owner, self.at = owner[order], at[order]
-        self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.owner, self.at = owner[order].astype(np.int32), at[order].astype(np.int32)
+        self.grams, first, count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.first, self.count = first.astype(np.int32), count.astype(np.int32)
         self.hint = np.zeros(1 << _TABLE, bool)
         self.hint[(self.grams >> np.uint64(64 - _TABLE)).astype(np.int64)] = True
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, start, end, edits, shared Q-grams) of all matches, in bytes; the same place of an item once."""
         out = []
-        for k, t in enumerate(texts):
-            for i, p in self.short:
-                at = t.find(p)
-                while at >= 0:
-                    out.append((k, i, at, at + len(p), 0, max(0, len(p) + 1 - Q)))
-                    at = t.find(p, at + len(p))
+        if self.tiny:
+            for k, t in enumerate(texts):
+                if len(bare := t.strip()) < Q:
+                    at = len(t) - len(t.lstrip())
+                    out += [(k, i, at, at + len(bare), 0, 0) for i in self.tiny.get(bare, ())]
         if not self.items:
             return out
         sizes = np.array([len(t) + Q for t in texts], np.int64)
@@ -116,9 +129,9 @@ class Index:
         g = np.minimum(np.searchsorted(self.grams, h[p]), len(self.grams) - 1)
         ok = self.grams[g] == h[p]
         p, g = p[ok], g[ok]
-        n = self.count[g]
+        n = self.count[g].astype(np.int64)
         post = np.repeat(self.first[g] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        p, item = np.repeat(p, n), self.owner[post]
+        p, item = np.repeat(p, n), self.owner[post].astype(np.int64)
         text = np.searchsorted(starts, p, "right") - 1
         diagonal = p - starts[text] - self.at[post] + 1  # an item may start a few bytes before its text does
         wide = self.edits[item] + 1
@@ -142,6 +155,8 @@ class Index:
                 continue  # the band before has it
             if found := align(pattern, texts[k][a:z], most):
                 cost, start, end = found
+                if len(pattern) < SHORT and not _bounded(texts[k], start + a, end + a):
+                    continue
                 last[own] = (k, name, start + a, end + a, cost, s)
                 out.append(last[own])
         return out

@@ -256,6 +256,39 @@ def test_awkward_items(spark, awkward, empty):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
+def test_short_items_keep_to_word_bounds(spark, make):
+    bench = spark.createDataFrame([(1, "a"), (2, "art is old"), (3, "ab"), (4, "the art of war is"), (5, "kurz"), (6, "x y")], "item_id long, text string")
+    texts = ["a cat sat on a mat", "Part is olden days", "so art is old, they say", " AB\n", "abc", "by the art of war is meant, by the art of wars is", "the Art of w\tar is", "kurz", "kurz ist es"]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(make(texts), bench).collect()}
+    assert got == {(2, 2), (3, 3), (5, 4), (7, 5)}
+
+
+def test_many_short_items_cost_little(make):
+    import time
+
+    rng = random.Random(7)
+    index = decontaminate.Index([(i, words(rng, 3)[:20] + f" {i}") for i in range(100_000)])
+    text = decontaminate.plain(words(rng, 2000))
+    index.search([text])
+    began = time.process_time()
+    for _ in range(5):
+        index.search([text])
+    assert (time.process_time() - began) / 5 < 0.05
+
+
+def test_recall_up_to_the_accepted_edits():
+    """Edits of single bytes, spread evenly at random: all found within RATE; beyond it most, fewer the more there are."""
+    rng = random.Random(10)
+    items = [(i, words(rng, rng.choice([12, 25, 50]))) for i in range(60)]
+    index = decontaminate.Index(items)
+    found = {}
+    for rate in (0.05, 0.09, 0.12, 0.15):
+        texts = [decontaminate.plain(f"{words(rng, 40)} {edited(rng, t, int(rate * len(t)))} {words(rng, 40)}") for _, t in items]
+        hits = {(k, m[1]) for k in range(len(items)) for m in index.search([texts[k]])}
+        found[rate] = sum((k, k) in hits for k in range(len(items))) / len(items)
+    assert found[0.05] == found[0.09] == 1 and found[0.12] >= 0.9 and found[0.15] >= 0.5, found
+
+
 def test_short_items_are_found_at_all_places():
     text = decontaminate.plain("one short item, then one short item and one short item")
     got = decontaminate.Index([(7, "one short item")]).search([text])
