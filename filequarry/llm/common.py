@@ -29,21 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
+    """Write df as Parquet in the shared folder and read it again: lineage ends there, and a lost executor costs nothing.
+
+    The table goes when forget() says so, or else when the program ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, p = _hadoop(df.sparkSession, path)
+    fs.deleteOnExit(p)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def forget(df: DataFrame | None) -> None:
     """Delete what written() stored for df; nothing may read it any more."""
     path = getattr(df, "_written_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _hadoop(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -186,7 +186,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
-    """Fit on at most ``sample`` labelled documents that aren't held out; the driver gets only features of those."""
+    """Fit on at most ``sample`` labelled doc_ids that aren't held out, one row of each; the driver gets only features of those."""
     chosen = sample_ids(labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD, sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
@@ -197,7 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), batch.column(2)], ["doc_id", "x", "y"])
 
-    rows = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x array<double>, y int").toArrow().to_pydict()
+    # of rows with one doc_id, one trains: the sample bounds what the driver gets however often a row is repeated
+    told = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x array<double>, y int")
+    rows = told.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("k")).select("doc_id", "k.x", "k.y").toArrow().to_pydict()
     x, y = np.array(rows["x"], float).reshape(-1, len(FEATURES)), np.array(rows["y"], float)
     order = np.lexsort([*x.T, np.array(rows["doc_id"], np.int64)])  # the model must not depend on the order of rows
     return fit(x[order], y[order])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, tidied, written
+from .common import forget, text_key, tidied, written
 from .quality import fold, sample_ids
 
 #: Labelled rows that the model is fitted on at most; those with the smallest hashes of their ids are taken.
@@ -164,13 +164,16 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
-    """Fit on at most ``sample`` labelled documents that aren't held out; the driver gets only chosen terms of those."""
+    """Fit on at most ``sample`` labelled doc_ids that aren't held out, one row of each; the driver gets only chosen terms of those."""
     chosen = sample_ids(labels, "toxic", fold(F.col("doc_id"), FOLDS) != HELD, sample)
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # of rows with one doc_id, one trains: the sample bounds what is stored and sent however often a row is repeated
+    texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")), "toxic-sample")
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1")).first()
     n1 = int(size.n1 or 0)
     n0 = int(size.n) - n1
     if not n1 or not n0:
+        forget(texts)
         return fit([])
     some = texts.mapInArrow(_term_counts, COUNTS).groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).where(f"n >= {LEAST_ROWS}")
     share = F.col("n") / (n0 + n1)
@@ -187,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
             cols = [batch.column(0), pa.array([sorted(c) for c in kept], pa.list_(pa.binary())), pa.array([[c[w] for w in sorted(c)] for c in kept], pa.list_(pa.int64())), pa.array(words, pa.int64()), batch.column(2)]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in ROWS.split(", ")])
 
-    rows = texts.mapInArrow(run, ROWS).toArrow().sort_by([("doc_id", "ascending"), ("others", "ascending")]).to_pylist()
+    rows = texts.mapInArrow(run, ROWS).toArrow().sort_by("doc_id").to_pylist()
+    forget(texts)
     return fit([(Counter(dict(zip(r["terms"], r["counts"], strict=True)) | {_OTHERS: r["others"]}), r["y"]) for r in rows])
 
 
