@@ -102,7 +102,8 @@ def _by_centres(fps: DataFrame, distance: int) -> DataFrame:
         flips += [F.lit(sum(1 << b for b in bits) - ((1 << 64) if 63 in bits else 0)).cast("long") for bits in combinations(range(64), r)]
     at = fps.select("fp", F.explode(F.transform(F.array(*flips), lambda x: x.bitwiseXOR(F.col("fp")))).alias("centre"))
     low = at.groupBy("centre").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    return at.join(low.select("centre", "low"), "centre").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    met = at.join(low.select("centre", "low"), "centre").where("fp <> low")
+    return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= distance).select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:

@@ -244,3 +244,59 @@ def test_words_are_told_apart_by_any_white_space(make):
     out = linededup.line_dedup(make([cells, f"Before\n{cells}\nafter", f"One {few} Two", f"Three {few} Four"])).orderBy("doc_id").collect()
     assert out[0].text == cells and out[1].text.split() == ["Before", "after"]
     assert out[3].text == f"Three {few} Four"
+
+
+def earlier_runs(texts, n):
+    """By text: the places whose next n words stand at an earlier place too, by looking at every place."""
+    seen, out = set(), []
+    for t in texts:
+        w, own = (t or "").split(), []
+        for i in range(len(w) - n + 1):
+            if (run := tuple(w[i : i + n])) in seen:
+                own.append(i)
+            seen.add(run)
+        out.append(own)
+    return out
+
+
+@pytest.mark.parametrize("noise", [4, 7, 20])
+def test_against_every_place(make, noise):
+    """Runs of 2 * noise words that stand before lose noise words at least, all if two texts alone have them; of what goes, all stood before."""
+    rng = random.Random(noise)
+    vocabulary = [words(rng, 1, 0) + str(i) for i in range(300)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passages = [some(rng.randrange(noise, 5 * noise)) for _ in range(12)]
+    texts = []
+    for k in range(60):
+        w = []
+        for _ in range(rng.randrange(0, 5)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p))
+            w += some(rng.randrange(0, 2 * noise)) + (p if rng.random() < 0.5 else p[a:]) + some(rng.randrange(0, 2 * noise))
+        texts.append(rng.choice(["", " "]) + rng.choice([" ", "\n", "\t "]).join(w))
+    once = [some(2 * noise) for _ in range(5)]
+    texts += [" ".join(some(9) + p + some(9)) for p in once * 2]
+    texts += [texts[3], texts[3] + " ", " ".join(passages[0] * 3), " ".join(["same"] * 10 * noise)]
+    rows = linededup.line_dedup(make(texts), noise).orderBy("doc_id").collect()
+    gone = [{i for r in row.runs for i in range(r.s - 1, r.e)} for row in rows]
+    for d, (row, t) in enumerate(zip(rows, texts, strict=True)):
+        assert row.text.split() == [w for i, w in enumerate(t.split()) if i not in gone[d]]
+    for d, places in enumerate(earlier_runs(texts, 2 * noise)):
+        for i in places:
+            assert len(gone[d] & set(range(i, i + 2 * noise))) >= noise, (d, i)
+    for d in range(65, 70):
+        assert set(range(9, 9 + 2 * noise)) <= gone[d] and len(gone[d]) < 9 + 2 * noise + 9
+    for d, places in enumerate(earlier_runs(texts, noise)):
+        assert gone[d] <= {j for i in places for j in range(i, i + noise)}, d
+
+
+def test_a_very_long_text(make):
+    import time
+
+    rng = random.Random(15)
+    long = " ".join(str(rng.getrandbits(30)) for _ in range(500_000))
+    began = time.time()
+    out = linededup.line_dedup(make(["few words", long + " x " + long, "so " * 400_000])).orderBy("doc_id").collect()
+    assert out[0].text == "few words"
+    assert out[1].text.split() == [*long.split(), "x"] and len(out[2].text.split()) <= 2
+    assert time.time() - began < 200
