@@ -92,7 +92,7 @@ def winnowed(sequence: list[bytes]) -> dict[int, bytes]:
     return {i: grams[i] for i in sorted(picks)}
 
 
-def align(template: list[bytes], text: list[bytes], start: int) -> tuple[int, int, int]:
+def align(template: list[bytes], text: list[bytes | None], start: int) -> tuple[int, int, int]:
     """(matched words, first, last) of the best alignment within BAND words of the diagonal on which template[0] is text[start].
 
     Matches count 2, and a word that only one side has costs 1; words before and after the match are free.
@@ -139,23 +139,27 @@ class Scanner:
                 starts[name][i - at].append(i)
         found = []
         for name, some in starts.items():
-            template, need, spans, tried = self.templates[name], self.counts[name], [], []
+            template, need, failed = self.templates[name], self.counts[name], set()
             if len(seq) < COVERAGE * len(template):
                 continue
+            rest = list(seq)  # without the words of what is found, so that the same license beside it is found too
             # where most fingerprints are first, as what they find spares the others
             for s, places in sorted(some.items(), key=lambda x: (-len(x[1]), x[0])):
-                if any(abs(s - t) <= BAND for t in tried) or all(any(a <= i <= z for a, z in spans) for i in places):
-                    continue  # in the same band, or found
-                if (Counter(seq[max(0, s - BAND) : s + len(template) + BAND]) & need).total() < COVERAGE * len(template):
+                if all(rest[i] is None for i in places) or any(t in failed for t in range(s - BAND // 2, s + BAND // 2 + 1)):
+                    continue  # found, or in about the same band
+                if (Counter(rest[max(0, s - BAND) : s + len(template) + BAND]) & need).total() < COVERAGE * len(template):
                     continue  # too few of the words are there at all
-                tried.append(s)
-                n, a, z = align(template, seq, s)
-                if n >= COVERAGE * len(template):
-                    spans.append((a, z))
-                    found.append((n, a, z, name))
+                n, a, z = align(template, rest, s)
+                if n < COVERAGE * len(template):
+                    failed.add(s)
+                    continue
+                found.append((n, a, z, name))
+                rest[a : z + 1] = [None] * (z + 1 - a)
         kept: list[tuple[int, int, int, str]] = []
+        taken = bytearray(len(seq) if found else 0)
         for n, a, z, name in sorted(found, key=lambda f: (-f[0], len(self.templates[f[3]]), f[1], f[3])):
-            if all(z < x or a > y for _, x, y, _ in kept):
+            if not any(taken[a : z + 1]):
+                taken[a : z + 1] = b"\1" * (z + 1 - a)
                 kept.append((n, a, z, name))
         told = []
         if text and "SPDX-License-Identifier" in text:

@@ -157,6 +157,49 @@ def test_alignment_is_the_longest_common_part():
         assert licenses.align(a, b, 3)[0] == len(a)
 
 
+def test_notices_side_by_side():
+    scan = lambda t: [(f[0], t[f[3] : f[4]]) for f in licenses.Scanner(licenses.TEMPLATES).scan(t)]
+    mit = ("MIT", "Released under the MIT License")
+    assert scan("Released under the MIT License.\n" * 2) == [mit] * 2
+    assert scan("Released under the MIT License. " * 50 + "and more") == [mit] * 50
+    assert scan("All rights reserved. Released under the MIT License. All rights reserved.") == [("reserved-notice", "All rights reserved"), mit, ("reserved-notice", "All rights reserved")]
+
+
+def common(a, b):
+    """Length of the longest common subsequence, by the plain recurrence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_scan_against_planted_and_plain_counts():
+    """Every planted copy, some edited, is one span; what is said of it is what the plain recurrence says; no other spans."""
+    rng = random.Random(12)
+    for _ in range(60):
+        templates = {f"L{k}": " ".join(f"t{rng.randrange(90)}" for _ in range(rng.choice([6, 12, 30, 60]))) for k in range(3)}
+        parts, want = [], []
+        for _ in range(rng.randrange(1, 7)):
+            parts += [f"f{rng.randrange(500)}" for _ in range(rng.choice([0, 0, 1, 5, 40]))]
+            name = rng.choice(sorted(templates))
+            own = templates[name].split()
+            if len(own) >= 30:  # the shorter ones have no words to spare, as an edit may spoil all their fingerprints
+                for i in rng.sample(range(1, len(own) - 1), len(own) // 15):
+                    own[i] = rng.choice(["edit", "edit edit", ""])
+            want.append((name, len(parts)))
+            parts += " ".join(own).split()
+        text = " ".join(parts)
+        got = licenses.Scanner(templates).scan(text)
+        assert [g[0] for g in got] == [w[0] for w in want], (templates, text)
+        for (name, coverage, n, a, z), (_, at) in zip(got, want, strict=True):
+            begin = len(text[:a].split())
+            assert abs(begin - at) <= 4
+            assert n == round(coverage * len(templates[name].split())) == common(templates[name].split(), text[a:z].split())
+
+
 def test_winnowing_guarantee():
     rng = random.Random(3)
     seq = [str(rng.randrange(50)).encode() for _ in range(200)]
