@@ -329,7 +329,7 @@ def learn(tokens: DataFrame, counts: DataFrame, v: Vocabulary) -> Model:
     """The model of all of ``tokens(ids)``, whose word_counts are given."""
     of = v.units()
     pairs = pair_counts(tokens, of, int(of.max()) + 1)
-    member = exchange(pairs)
+    member = exchange(pairs, CLASSES, SWEEPS)
     onehot = np.zeros((len(pairs), CLASSES))
     onehot[np.arange(len(pairs)), member] = 1
     own = exchange_rest(tokens, v, member[of], onehot.T @ pairs @ onehot)

@@ -117,34 +117,39 @@ def fit(rows: list[tuple[Counter, int]]) -> Ordinal:
     return Ordinal(weights, thresholds, strong, levels)
 
 
-def _descend(r: np.ndarray, c: np.ndarray, y: np.ndarray, chosen: list[bytes]) -> tuple[dict[bytes, float], np.ndarray]:
-    """Projected Adam. Weights stay at 0 or above: every term speaks for a higher grade.
+def thresholds_of(free: np.ndarray) -> np.ndarray:
+    """Thresholds from a first value and what their gaps come from; gaps are positive, so thresholds stay in order."""
+    return free[0] + np.concatenate([[0.0], np.cumsum(np.logaddexp(0, free[1:]))])
 
-    Thresholds are a first value and positive gaps, so they stay in order.
-    """
-    n, m = len(y), len(chosen)
+
+def loss(w: np.ndarray, free: np.ndarray, r: np.ndarray, c: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of grades y, and its slopes by w and free; row r[i] has term c[i]."""
+    n, m, t, top = len(y), len(w), thresholds_of(free), len(free)
+    z = np.bincount(r, w[c], n)
+    sig = 1 / (1 + np.exp(-np.clip(np.concatenate([np.full((n, 1), -40.0), t[None, :] - z[:, None], np.full((n, 1), 40.0)], 1), -40, 40)))
+    k = np.arange(n)
+    high, low = sig[k, y + 1], sig[k, y]
+    p = np.maximum(high - low, 1e-12)
+    dh, dl = high * (1 - high) / p, low * (1 - low) / p
+    gt = np.array([(dl[y == j + 1].sum() - dh[y == j].sum()) / n for j in range(top)])
+    gf = np.concatenate([[gt.sum()], [gt[j:].sum() / (1 + math.exp(-free[j])) for j in range(1, top)]])
+    return -float(np.log(p).mean()), np.bincount(c, ((dh - dl) / n)[r], m), gf
+
+
+def _descend(r: np.ndarray, c: np.ndarray, y: np.ndarray, chosen: list[bytes]) -> tuple[dict[bytes, float], np.ndarray]:
+    """Projected Adam. Weights stay at 0 or above: every term was chosen as one that speaks for a higher grade."""
+    m = len(chosen)
     w, free = np.zeros(m), np.array([2.0] + [0.0] * (GRADES - 2))
     moments = [np.zeros(m + GRADES - 1) for _ in range(2)]
     for step in range(1, _STEPS + 1):
-        t = free[0] + np.concatenate([[0.0], np.cumsum(np.logaddexp(0, free[1:]))])
-        z = np.bincount(r, w[c], n)
-        sig = 1 / (1 + np.exp(-np.clip(np.concatenate([np.full((n, 1), -40.0), t[None, :] - z[:, None], np.full((n, 1), 40.0)], 1), -40, 40)))
-        k = np.arange(n)
-        high, low = sig[k, y + 1], sig[k, y]
-        p = np.maximum(high - low, 1e-12)
-        dh, dl = high * (1 - high) / p, low * (1 - low) / p
-        gz = (dh - dl) / n  # of the loss by z
-        gt = np.array([(dl[y == j + 1].sum() - dh[y == j].sum()) / n for j in range(GRADES - 1)])
-        gf = np.concatenate([[gt.sum()], [gt[j:].sum() / (1 + math.exp(-free[j])) for j in range(1, GRADES - 1)]])
-        g = np.concatenate([np.bincount(c, gz[r], m) + _L2 * w, gf])
+        _, gw, gf = loss(w, free, r, c, y)
+        g = np.concatenate([gw + _L2 * w, gf])
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         move = _RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-7)
-        w = w - move[:m]
-        w = np.maximum(w, 0)
+        w = np.maximum(w - move[:m], 0)
         free = free - move[m:]
-    t = free[0] + np.concatenate([[0.0], np.cumsum(np.logaddexp(0, free[1:]))])
-    return {k: float(v) for k, v in zip(chosen, w, strict=True) if v}, t
+    return {k: float(v) for k, v in zip(chosen, w, strict=True) if v}, thresholds_of(free)
 
 
 COUNTS = "term binary, n long, n1 long"

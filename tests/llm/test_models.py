@@ -201,6 +201,97 @@ def test_held_out_toxicity(insulting):
     assert mean(0) < 0.2 < mean(1) < mean(9) <= toxicity.GRADES - 1
 
 
+def test_severity_follows_what_was_planted(make, insulting):
+    """An outside measure: how many insults a text was given, which neither the labels nor the model's grades tell."""
+    docs, labels, _ = insulting
+    rng = random.Random(8)
+    texts = []
+    for k in range(8):
+        for _ in range(60):
+            w = words(rng, 60).split()
+            for _ in range(k):
+                w.insert(rng.randrange(len(w)), rng.choice(["zzidiot", "qqmoron", "wwscum", "xxtrash"]))
+            texts.append(" ".join(w))
+    both = docs.union(make(texts, 10_000))
+    got = {r.doc_id - 10_000: r.severity for r in toxicity.toxicity(both, labels).collect() if r.doc_id >= 10_000}
+    pairs = [(i // 60, got[i]) for i in got]
+    ordered = [(a < b) == (x < y) for a, x in pairs for b, y in pairs if a != b and x != y]
+    mean = [np.mean([s for k, s in pairs if k == n]) for n in range(8)]
+    assert np.mean(ordered) > 0.9 and mean[0] < mean[1] < mean[4] < mean[7]
+
+
+def test_slopes_of_the_loss():
+    rng = np.random.default_rng(9)
+    n, m = 60, 7
+    y = rng.integers(0, toxicity.GRADES, n)
+    r, c = (x.ravel() for x in np.nonzero(rng.random((n, m)) < 0.4))
+    w, free = rng.normal(size=m), rng.normal(size=toxicity.GRADES - 1)
+    _, gw, gf = toxicity.loss(w, free, r, c, y)
+    x, step = np.concatenate([w, free]), 1e-6
+    for i, g in enumerate(np.concatenate([gw, gf])):
+        up, down = x.copy(), x.copy()
+        up[i] += step
+        down[i] -= step
+        slope = (toxicity.loss(up[:m], up[m:], r, c, y)[0] - toxicity.loss(down[:m], down[m:], r, c, y)[0]) / (2 * step)
+        assert g == pytest.approx(slope, abs=1e-5)
+
+
+def brute_score(m, texts, counts, n_group):
+    """Scores by the definition, token by token: class after class, word in class, and in groups word in group."""
+    out = []
+    for t in texts:
+        seq, cls, total = [*(t or "").encode().lower().split(), None], 0, 0.0
+        for w in seq:
+            h = None if w is None else classlm.Tokens([w], None, None).hashes()[0]
+            i = 0 if w is None else m.units.own.get(int(h)) or m.units.groups + zlib.crc32(w[-3:]) % classlm.GROUPS
+            total += m.follows[cls, m.own[i]] + m.emits[i]
+            if i >= m.units.groups:
+                total += math.log10((counts.get(int(h), 0) + 1) / n_group[i - m.units.groups])
+            cls = m.own[i]
+        out.append(total)
+    return out
+
+
+def test_scores_by_the_definition(spark, make, monkeypatch):
+    monkeypatch.setattr(classlm, "WORDS", 20)
+    monkeypatch.setattr(classlm, "HEAD", 400)
+    rng = random.Random(4)
+    texts = [*languages(rng, 300), None, "new wordsnever seenbefore"]
+    docs = make(texts)
+    known = docs.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)))
+    counts = classlm.word_counts(known.select("text"))
+    m = classlm.train(known.select("doc_id", "text"), counts)
+    told = {r.word: (r.n, r.suffix) for r in counts.collect()}
+    n_group = {g: 1 for g in range(classlm.GROUPS)}
+    for w, (n, g) in told.items():
+        if w not in m.units.own:
+            n_group[g] += n + 1
+    assert 20 < len(m.units.own) < len(told)
+    want = brute_score(m, texts, {w: n for w, (n, _) in told.items()}, n_group)
+    got = {r.doc_id: r.score for r in classlm.lm_scores(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
+def test_rarer_words_find_their_class(make, monkeypatch):
+    """Words beyond the commonest, with endings at random, come to the classes of words used like them."""
+    monkeypatch.setattr(classlm, "WORDS", 12)
+    monkeypatch.setattr(classlm, "HEAD", 20_000)
+    monkeypatch.setattr(classlm, "CLASSES", 6)
+    rng = random.Random(5)
+    name = lambda k, i: f"{'abc'[k]}{i}{''.join(rng.choice('xyzw') for _ in range(3))}"
+    kinds = [[name(k, i) for i in range(40)] for k in range(3)]
+    weight = [1 / (1 + i) for i in range(40)]
+    texts = [" ".join(rng.choices(kinds[(i + j) % 3], weight)[0] for j in range(30)) for i in range(600)]
+    docs = make(texts).select("doc_id", "text")
+    m = classlm.train(docs, classlm.word_counts(docs.select("text")))
+    of = {w: m.own[m.units.own[int(classlm.Tokens([w.encode()], None, None).hashes()[0])]] for k in kinds for w in k}
+    main = [Counter(of[w] for w in k).most_common() for k in kinds]
+    assert len({c for x in main for c, _ in x}) >= 3
+    for k, x in enumerate(main):
+        others = {c for j, y in enumerate(main) if j != k for c, _ in y}
+        assert sum(n for c, n in x if c not in others) >= 0.9 * 40, main
+
+
 def test_thresholds_and_weights():
     rng = random.Random(7)
     rows = []
