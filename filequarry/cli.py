@@ -81,7 +81,7 @@ def run_query(a: argparse.Namespace) -> int:
     for c in configs.values():
         if "://" not in c.file_path and not os.path.exists(c.file_path):
             raise FileNotFoundError(c.file_path)
-    spark = session(master=f"local[{a.workers}]" if a.workers else None, spark__ui__enabled="false", spark__ui__showConsoleProgress=str(a.verbose).lower())
+    spark = session(master=f"local[{a.workers}]" if a.workers else None, spark__ui__enabled="false", spark__ui__showConsoleProgress=str(bool(a.verbose or (a.export and sys.stderr.isatty()))).lower())
     spark.sparkContext.setLogLevel("OFF" if not a.verbose else "WARN")
     engine = Engine(spark)
     late = threading.Event()

@@ -150,6 +150,16 @@ ACCOUNTS = """SELECT CAST(c_custkey AS BIGINT) AS k, CASE WHEN c_custkey % 7 <>
 for _k in (*(f"scan_{s}" for s in SCANS), *(f"sink_{s}" for s in SINKS)):
     FRAME_ORACLES[_k] = ACCOUNTS.format(day="CAST(CAST(DATE '2020-02-28' + CAST(c_custkey % 1000 AS INTEGER) AS DATE) AS VARCHAR)", amount="DOUBLE")
 
+FRAME_ORACLES |= {
+    "scan_csv_multi_line": f"SELECT k, replace(name, ': ', chr(10)) AS name, balance, day, amount, flag FROM ({FRAME_ORACLES['scan_csv']}) a",
+    "scan_csv_strict_quotes": "SELECT CAST(c_custkey AS BIGINT) AS id, c_name || ', ' || c_mktsegment AS name FROM customer WHERE c_custkey % 3 <> 0",
+    "scan_csv_quotes_kept": "SELECT CAST(c_custkey AS BIGINT) AS id, '\"' || c_name || '\"' AS name FROM customer",
+    "scan_csv_empty_lines": "SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS name FROM customer UNION ALL SELECT NULL, '' FROM customer WHERE c_custkey % 5 = 0",
+    "sink_csv_gz": FRAME_ORACLES["sink_csv"],
+    "sink_parquet_zstd": FRAME_ORACLES["sink_csv"],
+    "sink_table": "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CASE WHEN n_regionkey = 0 THEN '' ELSE CAST(n_regionkey AS VARCHAR) END AS region FROM nation",
+}
+
 _KEPT: list[str] = []
 
 
@@ -232,6 +242,47 @@ def sink(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def scan_csv_multi_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}/lines.csv"
+    sinks.save(_accounts(spark, sf_dir).withColumn("name", F.replace("name", F.lit(": "), F.lit("\n"))), path, "csv")
+    return _read_back(Engine(spark).register("n", path, multi_line=True))
+
+
+def lines_of(line: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+    """A table of id and name whose lines are written as they are told, after a header."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{_folder(spark)}/told"
+        told = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.expr(line).alias("value"))
+        told.select(F.explode(F.split("value", "~")).alias("value")).coalesce(1).write.option("header", False).text(path)
+        head = spark.createDataFrame([("id,name",)], "value string")
+        whole = head.coalesce(1).union(spark.read.text(path)).coalesce(1)
+        whole.write.text(f"{path}.csv")
+        df = Engine(spark).register("told", f"{path}.csv", format="csv", **options)
+        return df.select(F.col("id").try_cast("long").alias("id"), F.coalesce("name", F.lit("")).alias("name"))
+
+    return run
+
+
+def sink_packed(fmt: str, ending: str, codec: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{_folder(spark)}/out.{ending}"
+        sinks.save(_accounts(spark, sf_dir), path, fmt, compression=codec)
+        return _read_back(Engine(spark).register("n", path, format=fmt))
+
+    return run
+
+
+def sink_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxed table, cell by cell."""
+    path = f"{_folder(spark)}/out.txt"
+    n = _nation(spark, sf_dir)
+    sinks.save(n.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.nullif("n_regionkey", F.lit(0)).alias("region")), path, "table")
+    with open(path, encoding="utf-8") as f:
+        cells = [[c.strip() for c in line.strip().strip("|").split("|")] for line in f if line.startswith("|")]
+    return spark.createDataFrame(cells[1:], ", ".join(f"{c} string" for c in cells[0]))
+
+
 def dml(*statements: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{_folder(spark)}/nation.csv"
@@ -317,6 +368,13 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 FRAMES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"scan_{k}": scan(k) for k in SCANS},
     **{f"sink_{k}": sink(k) for k in SINKS},
+    "scan_csv_multi_line": scan_csv_multi_line,
+    "scan_csv_strict_quotes": lines_of("""concat(c_custkey, if(c_custkey % 3 = 0, ',', ',"'), c_name, ', ', c_mktsegment, '"')""", strict_quotes=True),
+    "scan_csv_quotes_kept": lines_of("""concat(c_custkey, ',"', c_name, '"')""", allow_quoted=False),
+    "scan_csv_empty_lines": lines_of("""concat(c_custkey, ',', c_name, if(c_custkey % 5 = 0, '~', ''))""", skip_empty_lines=False),
+    "sink_csv_gz": sink_packed("csv", "csv.gz", "gzip"),
+    "sink_parquet_zstd": sink_packed("parquet", "parquet", "zstd"),
+    "sink_table": sink_table,
     "scan_parquet": scan_parquet,
     "scan_csv_max_columns": scan_csv_max_columns,
     "scan_ini": scan_ini,
