@@ -300,3 +300,22 @@ def test_a_very_long_text(make):
     assert out[0].text == "few words"
     assert out[1].text.split() == [*long.split(), "x"] and len(out[2].text.split()) <= 2
     assert time.time() - began < 200
+
+
+def test_words_by_the_plain_and_the_odd_way(make):
+    texts = ["a b\nc", "a  b", "a\n\nb", " a b", "a b\n", "a\tb", "a\rb c", "", " \n", None, "é\x0bß 日本", "one"]
+    for r in make(texts).select("text", linededup.words_in(F.col("text")).alias("w")).collect():
+        assert r.w == (re.split(r"[\x20\x09-\x0D]+", (r.text or "").strip(" \t\n\x0b\f\r")))
+
+
+def test_words_are_compared_at_the_ends_of_runs_alone(make):
+    """Of a passage of many fingerprints, only the first and the last need the words around them from the other text."""
+    rng = random.Random(16)
+    passage = words(rng, 1000, 0)
+    texts = [f"{words(rng, 60, 0)} {passage} {words(rng, 60, 0)}" for _ in range(3)]
+    found = linededup.repeats(make(texts)).collect()
+    places = [f for r in found for f in r.far]
+    assert len(places) > 150
+    assert 4 <= sum(f.prior is not None or f.next is not None for f in places) <= 8
+    for i, r in enumerate(linededup.line_dedup(make(texts)).orderBy("doc_id").collect()):
+        assert r.text == (texts[i] if not i else texts[i].replace(passage + " ", ""))
