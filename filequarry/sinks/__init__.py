@@ -6,17 +6,20 @@ import datetime
 import decimal
 import gzip
 import io
+import itertools
 import json
+import os
+import re
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import IO, Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ..catalog import TableConfig
-from ..storage import Storage, beside as hidden
+from ..storage import Storage, beside as hidden, shared_beside
 from .xlsx import write_xlsx
 
 ALIASES = {"text": "table", "json-lines": "jsonl", "ndjson": "jsonl", "yml": "yaml", "xlsx": "excel"}
@@ -24,6 +27,8 @@ FORMATS = ("table", "csv", "tsv", "json", "jsonl", "yaml", "excel", "parquet")
 CODECS = ("snappy", "gzip", "lz4", "zstd", "none")
 #: Cells of the table format are cut to this many characters.
 CELL = 50
+#: Rows that become text at once, and rows of one file of such texts.
+BATCH, PART = 500, 1 << 15
 
 
 def canonical(fmt: str) -> str:
@@ -54,38 +59,111 @@ def rows(df: DataFrame) -> Iterator[dict[str, Any]]:
         yield {c: plain(v) for c, v in zip(df.columns, r, strict=True)}
 
 
+def _yaml(data: list[dict[str, Any]], pad: str) -> str:
+    """Rows as items of a YAML list."""
+    import yaml
+
+    text = yaml.dump(data, Dumper=getattr(yaml, "CSafeDumper", yaml.SafeDumper), sort_keys=False, allow_unicode=True)
+    return "".join(f"{pad}{line}\n" for line in text.removesuffix("\n").split("\n"))
+
+
+def _json(r: dict[str, Any], pad: str) -> str:
+    text = json.dumps(r, ensure_ascii=False, indent=2).replace("\n", f"\n{pad}  ")
+    return f"{pad}  {text}"
+
+
 def _list(data: Iterator[dict[str, Any]], kind: str, out: IO[str], indent: int = 0) -> int:
     """A JSON or YAML list, row by row, and how many there were."""
     n, pad = 0, " " * indent
     if kind == "json":
         for r in data:
-            text = json.dumps(r, ensure_ascii=False, indent=2).replace("\n", f"\n{pad}  ")
-            out.write(f"{',' if n else '['}\n{pad}  {text}")
+            out.write(f"{',' if n else '['}\n{_json(r, pad)}")
             n += 1
         out.write(f"\n{pad}]" if n else "[]")
         return n
-    import yaml
-
-    for r in data:
-        out.write("".join(f"{pad}{line}\n" for line in yaml.safe_dump([r], sort_keys=False, allow_unicode=True).splitlines()))
-        n += 1
+    while some := list(itertools.islice(data, BATCH)):
+        out.write(_yaml(some, pad))
+        n += len(some)
     if not n:
         out.write(f"{pad}[]\n")
     return n
 
 
+def _around(columns: list[str], kind: str) -> tuple[str, str]:
+    """What goes before and after the list in a document of columns, data and count; the latter wants the number of rows."""
+    if kind == "json":
+        return '{\n  "columns": ' + json.dumps(columns, ensure_ascii=False, indent=2).replace("\n", "\n  ") + ',\n  "data": ', ',\n  "count": %d\n}'
+    import yaml
+
+    return yaml.safe_dump({"columns": columns}, sort_keys=False, allow_unicode=True) + "data:\n", "count: %d\n"
+
+
 def _envelope(df: DataFrame, kind: str, out: IO[str]) -> None:
     """columns, data and count, as one document; rows are written as they come."""
-    if kind == "json":
-        out.write('{\n  "columns": ' + json.dumps(df.columns, ensure_ascii=False, indent=2).replace("\n", "\n  ") + ',\n  "data": ')
-        n = _list(rows(df), kind, out, 2)
-        out.write(f',\n  "count": {n}\n}}')
+    head, tail = _around(df.columns, kind)
+    out.write(head)
+    out.write(tail % _list(rows(df), kind, out, 2))
+
+
+def parts(df: DataFrame, text: Callable[[list[list[Any]]], tuple[str, list[int]]], folder: str, *more: Column) -> Row:
+    """Text files of the rows in a folder, made by many tasks. Returns n, the number of rows, and what ``more`` says of ``told``.
+
+    ``text`` makes the text of some rows without the last line feed, and numbers, ``told``. However few tasks give the
+    rows, stretches of PART rows each are dealt out, and each has a file.
+    """
+    at = "at"
+    while at in df.columns:
+        at += "_"
+    spark = df.sparkSession
+    dealt = df.withColumn(at, F.monotonically_increasing_id())
+    part = F.expr(f"`{at}` div {PART}")
+    dealt = dealt.repartition(3 * spark.sparkContext.defaultParallelism, part).sortWithinPartitions(at)
+
+    def told(data: Iterator[Row]) -> Iterator[tuple]:
+        for part, some in itertools.groupby(data, lambda r: r[-1] // PART):
+            while batch := [[plain(v) for v in r[:-1]] for r in itertools.islice(some, BATCH)]:
+                yield (*text(batch), len(batch), part)
+
+    seen = Observation()
+    made = spark.createDataFrame(dealt.rdd.mapPartitions(told), "value string, told array<long>, n long, part long", verifySchema=False)
+    made.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *more).select("value", "part").write.partitionBy("part").text(folder)
+    return seen.get
+
+
+def part_files(files: Storage, folder: str) -> list[str]:
+    return sorted(files.matching(f"{folder}/part=*/part-*"), key=lambda p: [int(x or 0) for x in re.findall(r"/part=(\d+)/part-\d+.*?(?:-c(\d+))?\.txt", p)[0]])
+
+
+def _document(df: DataFrame, kind: str, path: str, indent: int = 0, around: tuple[str, str] = ("", ""), packed: bool = False) -> None:
+    """A JSON or YAML list, with what goes around it: rows become text where they are, and the driver joins files."""
+    spark, pad = df.sparkSession, " " * indent
+    local = "://" not in path or path.startswith("file:")
+    # of a plain path the folder is that of this program, which Spark's may not be
+    path = f"file://{os.path.abspath(path.removeprefix('file://'))}" if local and not path.startswith("file:/") else path
+    files, folder = Storage(spark, path), shared_beside(spark, path)
+    if folder is None:  # no folder is shared with the tasks: rows come to the driver
+        with _open(path.removeprefix("file://"), "gzip" if packed else None) as f:
+            f.write(around[0])
+            n = _list(rows(df), kind, f, indent)
+            f.write(around[1] % n if around[1] else "")
         return
-    import yaml
+    made = Storage(spark, folder)
+    columns = df.columns
+
+    def text(some: list[list[Any]]) -> tuple[str, list[int]]:
+        maps = [dict(zip(columns, r, strict=True)) for r in some]
+        return (",\n".join(_json(r, pad) for r in maps) + "," if kind == "json" else _yaml(maps, pad).removesuffix("\n")), []
 
-    out.write(yaml.safe_dump({"columns": df.columns}, sort_keys=False, allow_unicode=True) + "data:\n")
-    n = _list(rows(df), kind, out, 2)
-    out.write(f"count: {n}\n")
+    try:
+        n = parts(df, text, folder)["n"]
+        head, tail = around[0], around[1] % n if around[1] else ""
+        if kind == "json":
+            head, tail = head + ("[\n" if n else "[]"), (f"\n{pad}]" if n else "") + tail
+        elif not n:
+            head += f"{pad}[]\n"
+        files.join(part_files(made, folder), path, head, tail, 2 if kind == "json" else 0, packed, made)
+    finally:
+        made.delete(folder)
 
 
 def show(df: DataFrame, out: IO[str]) -> int:
@@ -123,9 +201,7 @@ def write_rows(df: DataFrame, path: str, config: TableConfig, compressed: bool =
     """A table in its own format, as its configuration says: a folder, or one file for JSON arrays and YAML lists."""
     kind = config.format
     if kind in ("json", "yaml"):
-        out = io.StringIO()
-        _list(rows(df), kind, out)
-        Storage(df.sparkSession, path).write(path, out.getvalue().encode())
+        _document(df, kind, path)
         return
     writer = df.write.option("compression", "gzip") if compressed else df.write
     if kind in ("csv", "tsv"):
@@ -144,7 +220,8 @@ def save(df: DataFrame, path: str | None, fmt: str = "table", *, single: bool =
     """Write a result to a path, or to standard output.
 
     CSV, TSV, JSONL and Parquet are written by Spark: to one file, or with ``single=False`` to a folder with a file for
-    each partition, which is the way for large results. The other formats are one document each, written by the driver.
+    each partition, which is the way for large results. The other formats are one document each: of JSON and YAML the
+    tasks make the text of the rows, in a folder that they share, and the driver joins the files.
     """
     fmt = canonical(fmt)
     if fmt == "parquet" and compression and compression not in CODECS:

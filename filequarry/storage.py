@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import tempfile
 import time
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -47,6 +49,37 @@ class Storage:
         finally:
             out.close()
 
+    def join(self, parts: list[str], path: str, head: str, tail: str, cut: int = 0, packed: bool = False, of: Storage | None = None) -> None:
+        """Files one after the other, with a head and a tail, by streams; ``cut`` bytes at the end of the last one go. ``of`` has the parts."""
+        of = of or self
+        sizes = [of.size(p) for p in parts]
+        out = self._fs.create(self._path(path), True)
+        out = self._jvm.java.util.zip.GZIPOutputStream(out) if packed else out
+        try:
+            out.write(bytearray(head.encode()))
+            for i, (part, size) in enumerate(zip(parts, sizes, strict=True)):
+                inp = of._fs.open(of._path(part))
+                try:
+                    self._jvm.org.apache.commons.io.IOUtils.copyLarge(inp, out, 0, size - (cut if i == len(parts) - 1 else 0))
+                finally:
+                    inp.close()
+            out.write(bytearray(tail.encode()))
+        finally:
+            out.close()
+
+    def size(self, path: str) -> int:
+        return self._fs.getFileStatus(self._path(path)).getLen()
+
+    @contextlib.contextmanager
+    def on_disk(self, path: str) -> Iterator[str]:
+        """A plain path of the file: its own, or that of a copy."""
+        if self._fs.getUri().getScheme() == "file":
+            yield self._path(path).toUri().getPath()
+            return
+        with tempfile.TemporaryDirectory() as d:
+            self._fs.copyToLocalFile(False, self._path(path), self._path(f"file://{d}/part"), True)
+            yield f"{d}/part"
+
     def put_in_place(self, new: str, path: str, old: str) -> None:
         """Move ``new`` to ``path``. What was there waits at ``old`` until that is done, and comes back if it fails."""
         there = self.exists(path)
@@ -82,3 +115,13 @@ def beside(path: str, mark: str, ending: str = "") -> str:
     """A hidden path in the same folder, which no reader of the folder sees."""
     head, slash, name = path.rstrip("/").rpartition("/")
     return f"{head}{slash}.{name}.{mark}{ending}"
+
+
+def shared_beside(spark: SparkSession, path: str) -> str | None:
+    """A new path that all machines share: beside ``path`` if that is on a shared storage, else in ``spark.checkpoint.dir``; None if there is none."""
+    mark = uuid.uuid4().hex
+    if "://" in path and not path.startswith("file:"):
+        return beside(path, mark, ".parts")
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return f"{shared.rstrip('/')}/parts-{mark}"
+    return beside(path, mark, ".parts") if spark.sparkContext.master.startswith("local") else None
