@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .. import sinks
@@ -21,6 +22,7 @@ from ..catalog import Column, TableConfig
 from ..engine import Engine
 from ..plans import dialect
 from ..sinks.xlsx import read_xlsx
+from ..sources.textual import read_document
 
 FLAGSHIP = """SELECT r.r_name AS region, o.o_orderpriority AS priority, COUNT(*) AS n_items,
   ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
@@ -230,11 +232,7 @@ def sink(kind: str) -> Callable[[SparkSession, str], DataFrame]:
             head, *rows = read_xlsx(path)
             return _read_back(spark.createDataFrame([[text(v) for v in r] for r in rows], ", ".join(f"{c} string" for c in head)))
         if kind == "yaml":
-            import yaml
-
-            with open(path, encoding="utf-8") as f:
-                data = yaml.safe_load(f)["data"]
-            return _read_back(spark.createDataFrame([(r["k"], r["name"], r["balance"], str(r["day"]) if r["day"] else None, r["amount"], r["flag"]) for r in data], "k long, name string, balance double, day string, amount double, flag boolean"))
+            return _read_back(read_document(spark, path, T.StructType.fromDDL("k long, name string, balance double, day string, amount double, flag boolean")))
         if kind == "json":
             return _read_back(spark.read.option("multiLine", True).json(path).select(F.explode("data").alias("r")).select("r.*"))
         return _read_back(Engine(spark).register("n", path, format=kind))

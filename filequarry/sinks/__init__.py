@@ -233,7 +233,10 @@ def save(df: DataFrame, path: str | None, fmt: str = "table", *, single: bool =
         return
     if fmt == "excel":
         write_xlsx(path, df.columns, (list(r.values()) for r in rows(df)))
-    elif fmt in ("table", "json", "yaml"):
+    elif fmt in ("json", "yaml"):
+        head, tail = _around(df.columns, fmt)
+        _document(df, fmt, path, 2, (head, tail + "\n" if fmt == "json" else tail), _packed(path, compression))
+    elif fmt == "table":
         if "://" in path and not path.startswith("file:"):
             text = io.StringIO()
             _print(df, text, fmt, delimiter)

@@ -1,10 +1,13 @@
 """Documents and workbooks of many rows: rows become text in tasks, files are cut for many tasks, the driver only joins."""
 
+import gzip
+import json
+
 import pytest
 import yaml
 from pyspark.sql import functions as F
 
-from filequarry import Engine
+from filequarry import Engine, TableConfig, sinks
 
 
 def yaml_rows(spark, path):
@@ -70,3 +73,40 @@ def test_a_file_that_cannot_be_cut_beside_others(spark, tmp_path):
     (tmp_path / "y" / "2.yaml").write_text("- {a: 7, c: z}\n")
     rows = yaml_rows(spark, tmp_path / "y")
     assert len(rows) == 603 and sum(r["a"] for r in rows) == 1 + 1200 + 1 + 7 and [r["c"] for r in rows if r["c"]] == ["z"]
+
+
+@pytest.fixture
+def no_rows_at_the_driver(monkeypatch):
+    def never(df):
+        raise AssertionError("rows came to the driver")
+
+    monkeypatch.setattr(sinks, "rows", never)
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    return spark.range(70000).select("id", F.expr("if(id % 7 = 0, null, concat('a: \"', id, '\"\n- b'))").alias("s"), (F.col("id") / 4).alias("d")).orderBy(F.desc("id"))
+
+
+def want_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+@pytest.mark.parametrize("fmt, read", [("json", json.loads), ("yaml", lambda t: yaml.load(t, Loader=yaml.CSafeLoader))])
+def test_documents_keep_their_order(spark, many, tmp_path, no_rows_at_the_driver, fmt, read):
+    sinks.save(many, str(tmp_path / "d"), fmt)
+    want = want_of(many)
+    assert read((tmp_path / "d").read_text()) == {"columns": ["id", "s", "d"], "data": want, "count": 70000}
+    sinks.write_rows(many.limit(10), str(tmp_path / "l"), TableConfig(name="l", file_path=str(tmp_path / f"l.{fmt}")))
+    assert read((tmp_path / "l").read_text()) == want[:10]
+    sinks.save(many.limit(0), f"file://{tmp_path}/e.gz", fmt)
+    assert read(gzip.open(tmp_path / "e.gz", "rt").read()) == {"columns": ["id", "s", "d"], "data": [], "count": 0}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["d", "e.gz", "l"]
+
+
+def test_document_read_back_by_many_tasks(spark, many, tmp_path, no_rows_at_the_driver):
+    from filequarry.sources.textual import read_document
+
+    for name, df in (("d", many), ("e", many.limit(0)), ("o", many.limit(1))):
+        sinks.save(df, str(tmp_path / name), "yaml")
+        assert sorted(read_document(spark, str(tmp_path / name), df.schema).collect()) == sorted(df.collect())
