@@ -10,8 +10,9 @@ import atexit
 import os
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from .. import sinks
 from ..catalog import Column, TableConfig
 from ..engine import Engine
 from ..plans import dialect
-from ..sinks.xlsx import read_xlsx
+from ..sinks.xlsx import row_texts, rows_of
 from ..sources.textual import read_document
 
 FLAGSHIP = """SELECT r.r_name AS region, o.o_orderpriority AS priority, COUNT(*) AS n_items,
@@ -223,14 +224,33 @@ def scan(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _sheet(spark: SparkSession, path: str) -> DataFrame:
+    """A workbook's rows as strings. One task unpacks it, as it is one stream, and many read the cells."""
+    head = rows_of(next(row_texts(path)))[0]
+    text = lambda v: None if v in (None, "") else str(v).lower() if isinstance(v, bool) else str(int(v) if isinstance(v, float) and v.is_integer() else v)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                for n, x in enumerate(row_texts(path)):
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([x])], ["n", "x"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, x in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                rows = rows_of(x)[0 if n else 1 :]
+                yield pa.RecordBatch.from_arrays([pa.array([text(r[i]) for r in rows], pa.string()) for i in range(len(head))], head)
+
+    texts = spark.range(1, numPartitions=1).mapInArrow(unpacked, "n long, x string").repartition(3 * spark.sparkContext.defaultParallelism, "n")
+    return texts.mapInArrow(cells, ", ".join(f"`{c}` string" for c in head))
+
+
 def sink(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{_folder(spark)}/out.{kind}"
         sinks.save(_accounts(spark, sf_dir), path, kind)
         if kind == "excel":
-            text = lambda v: None if v in (None, "") else str(v).lower() if isinstance(v, bool) else str(int(v) if isinstance(v, float) and v.is_integer() else v)
-            head, *rows = read_xlsx(path)
-            return _read_back(spark.createDataFrame([[text(v) for v in r] for r in rows], ", ".join(f"{c} string" for c in head)))
+            return _read_back(_sheet(spark, path))
         if kind == "yaml":
             return _read_back(read_document(spark, path, T.StructType.fromDDL("k long, name string, balance double, day string, amount double, flag boolean")))
         if kind == "json":

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import TableConfig
 from ..storage import Storage, beside as hidden, shared_beside
-from .xlsx import write_xlsx
+from .xlsx import pack, row_lines, write_xlsx
 
 ALIASES = {"text": "table", "json-lines": "jsonl", "ndjson": "jsonl", "yml": "yaml", "xlsx": "excel"}
 FORMATS = ("table", "csv", "tsv", "json", "jsonl", "yaml", "excel", "parquet")
@@ -166,6 +166,28 @@ def _document(df: DataFrame, kind: str, path: str, indent: int = 0, around: tupl
         made.delete(folder)
 
 
+def _workbook(df: DataFrame, path: str) -> None:
+    """Cells are made by the tasks and packed by the driver, row by row."""
+    spark, columns = df.sparkSession, df.columns
+    folder = shared_beside(spark, path)
+    if folder is None:
+        write_xlsx(path, columns, (list(r.values()) for r in rows(df)))
+        return
+    made = Storage(spark, folder)
+    try:
+        wide = [F.max(F.get("told", F.lit(i))).alias(f"w{i}") for i in range(len(columns))]
+        told = parts(df, row_lines, folder, *wide)
+
+        def lines() -> Iterator[bytes]:
+            for part in part_files(made, folder):
+                with made.on_disk(part) as name, open(name, "rb") as f:
+                    yield from f
+
+        pack(path, columns, [max(told[f"w{i}"] or 0, len(c)) for i, c in enumerate(columns)], lines(), told["n"])
+    finally:
+        made.delete(folder)
+
+
 def show(df: DataFrame, out: IO[str]) -> int:
     """A boxed table and its number of rows. Rows come one by one, twice, as all cells set a column's width."""
     df = df.persist()
@@ -220,8 +242,8 @@ def save(df: DataFrame, path: str | None, fmt: str = "table", *, single: bool =
     """Write a result to a path, or to standard output.
 
     CSV, TSV, JSONL and Parquet are written by Spark: to one file, or with ``single=False`` to a folder with a file for
-    each partition, which is the way for large results. The other formats are one document each: of JSON and YAML the
-    tasks make the text of the rows, in a folder that they share, and the driver joins the files.
+    each partition, which is the way for large results. The other formats are one document each: of JSON, YAML and Excel
+    the tasks make the text of the rows, in a folder that they share, and the driver joins the files.
     """
     fmt = canonical(fmt)
     if fmt == "parquet" and compression and compression not in CODECS:
@@ -232,7 +254,7 @@ def save(df: DataFrame, path: str | None, fmt: str = "table", *, single: bool =
         _print(df, sys.stdout, fmt, delimiter)
         return
     if fmt == "excel":
-        write_xlsx(path, df.columns, (list(r.values()) for r in rows(df)))
+        _workbook(df, path)
     elif fmt in ("json", "yaml"):
         head, tail = _around(df.columns, fmt)
         _document(df, fmt, path, 2, (head, tail + "\n" if fmt == "json" else tail), _packed(path, compression))

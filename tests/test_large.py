@@ -2,12 +2,14 @@
 
 import gzip
 import json
+import zipfile
 
 import pytest
 import yaml
 from pyspark.sql import functions as F
 
 from filequarry import Engine, TableConfig, sinks
+from filequarry.sinks import xlsx
 
 
 def yaml_rows(spark, path):
@@ -110,3 +112,17 @@ def test_document_read_back_by_many_tasks(spark, many, tmp_path, no_rows_at_the_
     for name, df in (("d", many), ("e", many.limit(0)), ("o", many.limit(1))):
         sinks.save(df, str(tmp_path / name), "yaml")
         assert sorted(read_document(spark, str(tmp_path / name), df.schema).collect()) == sorted(df.collect())
+
+
+def test_workbook_of_many_rows_and_sheets(spark, many, tmp_path, monkeypatch, no_rows_at_the_driver):
+    want = [["id", "s", "d"]] + [[float(r.id), r.s, r.d] for r in many.collect()]
+    sinks.save(many, str(tmp_path / "r.xlsx"), "excel")
+    assert xlsx.read_xlsx(str(tmp_path / "r.xlsx")) == want
+    monkeypatch.setattr(xlsx, "MOST_ROWS", 30000)
+    sinks.save(many, str(tmp_path / "s.xlsx"), "excel")
+    assert xlsx.read_xlsx(str(tmp_path / "s.xlsx")) == want
+    with zipfile.ZipFile(tmp_path / "s.xlsx") as z:
+        assert [n for n in z.namelist() if "sheet" in n and "work" in n.split("/")[1]] == [f"xl/worksheets/sheet{i}.xml" for i in (1, 2, 3)]
+        assert z.read("xl/workbook.xml").count(b"<sheet ") == 3
+    sinks.save(many.limit(0), str(tmp_path / "e.xlsx"), "excel")
+    assert xlsx.read_xlsx(str(tmp_path / "e.xlsx")) == want[:1]
