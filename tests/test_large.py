@@ -126,3 +126,13 @@ def test_workbook_of_many_rows_and_sheets(spark, many, tmp_path, monkeypatch, no
         assert z.read("xl/workbook.xml").count(b"<sheet ") == 3
     sinks.save(many.limit(0), str(tmp_path / "e.xlsx"), "excel")
     assert xlsx.read_xlsx(str(tmp_path / "e.xlsx")) == want[:1]
+
+
+def test_stream_windows_sort_no_table_in_one_task(spark, monkeypatch):
+    from filequarry.operators import reference_queries
+
+    def never(*columns):
+        raise AssertionError("a window without partitions")
+
+    monkeypatch.setattr(reference_queries.Window, "orderBy", never)
+    assert reference_queries.stream_windows(spark, "/root/testdata/sf0.001").count() > 0
